@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that register queries (``QUERIES`` and ``ORACLES``).
-MODULES = ("topk", "extract", "warc", "tokens", "packing")
+MODULES = ("topk", "extract", "warc", "tokens", "packing", "decontam", "quality")
 
 
 def _merged(attribute: str) -> dict:
