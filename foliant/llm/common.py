@@ -12,6 +12,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +62,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a string column that tells its rows apart, the same at every reading.
+
+    A key is a file and a position in it; rows that do not come straight from
+    Parquet files are written first.
+    """
+    try:
+        return df.withColumn(name, _file_position())
+    except AnalysisException:
+        return written(df, "rows").withColumn(name, _file_position())
+
+
+def _file_position():
+    return F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
 
 
 def text_or_empty(column: str):

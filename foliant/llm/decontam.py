@@ -49,8 +49,8 @@ BATCH = 512
 BATCH_WORDS = 1 << 20
 
 _WORD = re.compile(r"\w+")
-_HIT_SCHEMA = "doc_id long, item long, begin int, seeds array<int>, words binary"
-_SCORE_SCHEMA = "doc_id long, item_id long, score double, begin int, length int"
+_HIT_SCHEMA = "doc_id string, item long, begin int, seeds array<int>, words binary"
+_SCORE_SCHEMA = "doc_id string, item_id long, score double, begin int, length int"
 
 
 def words_of(text: str) -> list[str]:
@@ -157,7 +157,7 @@ def find_contamination(
     threshold: float = THRESHOLD,
     group_words: int = GROUP_WORDS,
 ) -> DataFrame:
-    """(doc_id, item_id, score, begin, length): documents that hold a benchmark item, and where."""
+    """(id, item_id, score, begin, length): documents that hold a benchmark item, and where."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
     size = items.select(F.sum(F.length("text") / 2 + 1).alias("words")).first()["words"] or 0  # a word has 2 characters, or 1 and a space
     groups = max(1, int(-(-size // group_words)))
@@ -170,7 +170,13 @@ def find_contamination(
         found = one if found is None else found.unionByName(one)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max_by(F.struct("begin", "length"), F.struct("score", -F.col("begin"))).alias("at")
-    ).select("doc_id", "item_id", "score", F.col("at.begin").alias("begin"), F.col("at.length").alias("length"))
+    ).select(
+        F.col("doc_id").cast(documents.schema[id_col].dataType).alias(id_col),
+        "item_id",
+        "score",
+        F.col("at.begin").alias("begin"),
+        F.col("at.length").alias("length"),
+    )
 
 
 def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, threshold: float, total: int) -> DataFrame:
@@ -184,11 +190,9 @@ def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, thresh
                 (key, *passage) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for passage in own.passages(text)
             ]
             if rows:
-                out = pd.DataFrame(rows, columns=["doc_id", "item", "begin", "seeds", "words"])
-                out["doc_id"] = pd.array([None if x is None or x != x else int(x) for x in out["doc_id"]], dtype="Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "item", "begin", "seeds", "words"])
 
-    texts = documents.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = documents.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     hits = written(texts.mapInPandas(seek, _HIT_SCHEMA), "seed-hits")
     frequency = hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))
     rare = max(RARE_COUNT, int(RARE_SHARE * total))
@@ -207,7 +211,7 @@ def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, thresh
                 share = align(left, right) / (MATCH * np.array([len(x) for x in left]))
                 out = pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if x is None or x != x else int(x) for x in part["doc_id"]], dtype="Int64"),
+                        "doc_id": part["doc_id"].to_numpy(),
                         "item_id": pd.array([own.ids[i] for i in part["item"]], dtype="Int64"),
                         "score": share,
                         "begin": part["begin"].to_numpy(),
@@ -216,7 +220,7 @@ def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, thresh
                 )
                 yield out[share >= threshold]
 
-    return hits.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(score, _SCORE_SCHEMA)
+    return hits.mapInPandas(score, _SCORE_SCHEMA)
 
 
 def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this subpackage that register queries (``QUERIES`` and ``ORACLES``).
-MODULES = ("neardup", "topk", "extract", "warc", "tokens", "packing", "decontam", "quality", "pii")
+MODULES = ("urls", "neardup", "topk", "extract", "warc", "tokens", "packing", "decontam", "quality", "pii")
 
 
 def _merged(attribute: str) -> dict:
