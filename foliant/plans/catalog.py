@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from foliant.plans import layout_queries
+
+_FAMILIES = (layout_queries,)
+
+QUERIES: dict = {name: f for family in _FAMILIES for name, f in family.QUERIES.items()}
+ORACLES: dict = {name: text for family in _FAMILIES for name, text in family.ORACLES.items()}
