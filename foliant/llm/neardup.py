@@ -17,10 +17,11 @@ every member is compared with the pivot only, exactly, on the whole sets:
    mostly are copies of one text).
 
 So no link between parts that are not connected otherwise is lost.  Links are
-then counted within each connected group around its hub, using that Jaccard
-distance is a metric: members within half the distance bound of the hub are all
-linked to each other, members whose distances to the hub differ by more than
-the bound are not, and only the pairs that the hub does not decide are compared.
+then counted within each connected part around its centre, the set of shingles
+that at least half of its classes hold, using that Jaccard distance is a metric:
+classes within half the distance bound of the centre are all linked to each
+other, classes whose distances to it differ by more than the bound are not, and
+only the pairs that the centre does not decide are compared.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased;
 a text of one to four words is one shingle; texts without words are one class
@@ -44,11 +45,11 @@ from foliant.llm.common import table, text_or_empty, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 32
 DEPTH = 8
-TARGET_RECALL = 0.9995
-#: Pairs whose signatures agree in a smaller share are not compared: five standard deviations below the threshold.
-ESTIMATE_FLOOR = 0.62
+TARGET_RECALL = 0.999
+#: Pairs whose signatures agree in a smaller share are not compared: six standard deviations below the threshold.
+ESTIMATE_FLOOR = 0.65
 _LABEL_BYTES = 2
 _CHUNK = 2048
 
@@ -82,17 +83,18 @@ def shingles(text: str, hashes: dict[str, int], size: int = SHINGLE_WORDS) -> np
 
 
 def hash_functions(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and offsets of permutations of the 32-bit numbers."""
     draw = np.random.default_rng(11)
-    top = 2**64
-    return draw.integers(0, top, count, dtype=np.uint64) | np.uint64(1), draw.integers(0, top, count, dtype=np.uint64)
+    return draw.integers(0, 2**32, count, dtype=np.uint32) | np.uint32(1), draw.integers(0, 2**32, count, dtype=np.uint32)
 
 
 def signature(found: np.ndarray, factors: np.ndarray, offsets: np.ndarray) -> bytes:
-    """For each hash function the low 16 bits of its smallest 32-bit value."""
-    least = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), _CHUNK):
-        np.minimum(least, ((found[at : at + _CHUNK, None] * factors + offsets) >> np.uint64(32)).min(axis=0), out=least)
-    return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+    """For each permutation a 16-bit label of the smallest value."""
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(factors), np.iinfo(np.uint32).max, dtype=np.uint32)
+    for at in range(0, len(short), _CHUNK):
+        np.minimum(least, (short[at : at + _CHUNK, None] * factors + offsets).min(axis=0), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
 
 
 def depth_for(threshold: float, trees: int, deepest: int, target: float) -> int:
@@ -141,8 +143,8 @@ def _sets(documents: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -
     return found.mapInPandas(build, "class binary, shingles binary").dropDuplicates(["class"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
-    """(a, b, distance, linked) of the pairs (a, b), on the whole sets."""
+def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction, others: DataFrame | None = None) -> DataFrame:
+    """(a, b, distance, linked) of the pairs (a, b), on the whole sets; b may name one of ``others``."""
     above, below = limit.numerator, limit.denominator
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,40 +161,45 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
             yield out
 
     joined = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a").join(
-        sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b"
+        (others or sets).select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b"
     )
     return joined.select("a", "b", "left", "right").mapInPandas(compare, "a binary, b binary, distance double, linked boolean")
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(class, part): the smallest class of each node's connected part, by label passing and pointer jumping."""
-    both = written(
-        links.select("a", "b").union(links.select("b", "a")).distinct(), "nd-links"
-    )
+    both = written(links.select("a", "b").union(links.select("b", "a")), "nd-links")
     # Nodes without links keep themselves; only the others take part in the rounds.
     labels = written(both.groupBy(F.col("a").alias("class")).agg(F.least(F.col("class"), F.min("b")).alias("part")), "nd-labels")
     while True:
-        passed = (
-            both.join(labels.select(F.col("class").alias("b"), "part"), "b").groupBy(F.col("a").alias("class")).agg(F.min("part").alias("heard"))
-        )
-        nearer = labels.join(passed, "class").select("class", F.least("part", "heard").alias("part"), F.col("part").alias("before"))
-        nearer = written(nearer, "nd-labels")
-        jump = nearer.select(F.col("class").alias("part"), F.col("part").alias("further"))
-        jumped = written(
-            nearer.join(jump, "part", "left").select("class", F.least("part", F.coalesce("further", "part")).alias("part"), "before"), "nd-labels"
-        )
-        labels = jumped.select("class", "part")
-        if jumped.where(F.col("part") != F.col("before")).isEmpty():
+        heard = both.join(labels.select(F.col("class").alias("b"), "part"), "b").select(F.col("a").alias("class"), "part", F.lit(None).cast("binary").alias("own"))
+        told = labels.select("class", "part", F.col("part").alias("own")).union(heard)
+        nearer = written(told.groupBy("class").agg(F.min("part").alias("part"), F.min("own").alias("before")), "nd-labels")
+        if nearer.where(F.col("part") != F.col("before")).isEmpty():
             break
+        labels = written(_jumped(nearer.select("class", "part")), "nd-labels")
     return nodes.join(labels, "class", "left").select("class", F.coalesce("part", "class").alias("part"))
 
 
-def _agreement(left: Column, right: Column, labels: int) -> Column:
-    """Share of equal labels of two signatures."""
-    size = 2 * _LABEL_BYTES  # characters of a label in hexadecimal
-    label = lambda sig, i: F.substring(sig, i * size + 1, F.lit(size))
-    equal = F.filter(F.sequence(F.lit(0), F.lit(labels - 1)), lambda i: label(left, i) == label(right, i))
-    return F.size(equal) / labels
+def _jumped(labels: DataFrame) -> DataFrame:
+    """Labels followed one step further."""
+    further = labels.select(F.col("class").alias("part"), F.col("part").alias("further"))
+    return labels.join(further, "part", "left").select("class", F.least("part", F.coalesce("further", "part")).alias("part"))
+
+
+def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree well enough for the threshold."""
+
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                left, right = (np.frombuffer(b"".join(batch[c]), dtype=np.uint16).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+                yield batch.loc[(left == right).mean(axis=1) >= ESTIMATE_FLOOR, ["a", "b"]]
+
+    joined = pairs.join(signatures.select(F.col("class").alias("a"), F.col("sig").alias("sig_a")), "a").join(
+        signatures.select(F.col("class").alias("b"), F.col("sig").alias("sig_b")), "b"
+    )
+    return joined.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a binary, b binary")
 
 
 def near_duplicates(
@@ -221,35 +228,35 @@ def near_duplicates(
         "nd-classes",
     )
     linkable = classes.where((F.col("size") > 0) & F.col("id").isNotNull())
-    node = F.struct("tree", F.expr(f"substring(sig, tree * {deepest * _LABEL_BYTES} + 1, {depth * _LABEL_BYTES})").alias("prefix"))
-    placed = linkable.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(node.alias("node"), "class")
+    # A trie node under a prefix, by its 64-bit hash (all that meets there is verified).
+    prefix = F.expr(f"xxhash64(tree, substring(sig, tree * {deepest * _LABEL_BYTES} + 1, {depth * _LABEL_BYTES}))")
+    placed = linkable.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(prefix.alias("node"), "class")
     shared = placed.groupBy("node").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("node", "pivot")
     members = written(placed.join(written(shared, "nd-pivots"), "node"), "nd-members")
 
     compared = members.where(F.col("class") != F.col("pivot")).groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.lit(1).alias("x"))
     compared = written(compared.select("a", "b"), "nd-pairs")
-    involved = members.select("class").distinct()
+    involved = written(members.select("class").distinct(), "nd-involved")
     sets = written(_sets(documents, id_col, text_col, linkable.join(involved, "class", "left_semi")), "nd-sets")
 
-    first = compared.groupBy("a").agg(F.min("b").alias("b"))
-    facts = written(_verified(written(first, "nd-first"), sets, limit), "nd-facts")
-    parts = written(connected(involved, facts.where("linked")), "nd-parts")
-
-    rest = _apart(compared.join(facts, ["a", "b"], "left_anti"), parts)
-    more = written(_verified(written(rest, "nd-rest"), sets, limit), "nd-facts")
-    facts = facts.union(more)
+    first = written(compared.groupBy("a").agg(F.min("b").alias("b")), "nd-first")
+    facts = written(_verified(first, sets, limit), "nd-facts")
+    stars = involved.join(facts.where("linked").select(F.col("a").alias("class"), F.col("b").alias("part")), "class", "left")
+    stars = written(_jumped(written(stars.select("class", F.coalesce("part", "class").alias("part")), "nd-stars")), "nd-stars")
+    rest = written(_apart(compared.join(first, ["a", "b"], "left_anti"), stars), "nd-rest")
+    facts = facts.union(written(_verified(rest, sets, limit), "nd-facts"))
     parts = written(connected(involved, facts.where("linked")), "nd-parts")
 
-    loose = written(_loose(members, parts, classes, limit), "nd-loose")
-    if not loose.isEmpty():
-        facts = facts.union(written(_verified(loose.join(facts, ["a", "b"], "left_anti"), sets, limit), "nd-facts"))
-        parts = written(connected(involved, facts.where("linked")), "nd-parts")
+    loose = written(_loose(members, parts, classes, limit).join(facts, ["a", "b"], "left_anti"), "nd-loose")
+    more = written(_verified(written(_estimated(loose, classes), "nd-loose"), sets, limit), "nd-facts")
+    if not more.where("linked").isEmpty():
+        parts = written(connected(involved, facts.union(more).where("linked")), "nd-parts")
 
     groups = classes.select("class", "id", "copies").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     names = groups.groupBy("part").agg(F.min("id").alias("class_id"))
     named = groups.join(written(names, "nd-names"), "part").select("class", "class_id", F.col("id").alias("copy_id"), (F.col("copies") - 1).alias("n_copies"))
     if count_links:
-        named = named.join(_link_counts(parts, facts, sets, classes, limit), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        named = named.join(_link_counts(parts, sets, classes, limit), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     named = written(named, "nd-named")
     return rows.select("class", F.col("id").alias(id_col)).join(named, "class").drop("class")
 
@@ -266,68 +273,80 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _loose(members: DataFrame, parts: DataFrame, classes: DataFrame, limit: Fraction) -> DataFrame:
     """Pairs in a node that its pivot does not connect: one end is outside the pivot's part."""
-    facts = classes.select("class", "size", F.hex("sig").alias("sig"))
     known = members.join(parts, "class").join(parts.select(F.col("class").alias("pivot"), F.col("part").alias("pivot_part")), "pivot")
-    known = written(known.select("node", "class", "part", "pivot_part"), "nd-known")
-    outside = known.where(F.col("part") != F.col("pivot_part")).select("node", F.col("class").alias("a"), F.col("part").alias("part_a")).join(
-        facts.select(F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("sig").alias("sig_a")), "a"
-    )
-    outside = written(outside, "nd-outside")
-    nodes = outside.select("node").distinct()
-    inside = known.join(nodes, "node", "left_semi").select("node", F.col("class").alias("b"), F.col("part").alias("part_b")).join(
-        facts.select(F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("sig").alias("sig_b")), "b"
-    )
-    inside = written(inside, "nd-inside")
-    labels = F.length("sig_a") / F.lit(2 * _LABEL_BYTES)
-    near = _sizes_fit(limit) & (F.col("part_a") != F.col("part_b"))
-    pairs = outside.join(inside, (outside["node"] == inside["node"]) & near).select(
-        F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "sig_a", "sig_b", labels.cast("int").alias("labels")
-    )
-    kept = pairs.where(_agreement(F.col("sig_a"), F.col("sig_b"), TREES * DEPTH) >= ESTIMATE_FLOOR)
-    return kept.select(F.col("x").alias("b"), F.col("y").alias("a")).distinct().select("a", "b")
+    known = known.join(classes.select("class", "size"), "class").select("node", "class", "part", "pivot_part", "size")
+    known = written(known, "nd-known")
+    outside = known.where(F.col("part") != F.col("pivot_part"))
+    outside = written(outside.select("node", F.col("class").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a")), "nd-outside")
+    inside = written(known.join(outside.select("node").distinct(), "node", "left_semi"), "nd-inside")
+    inside = inside.select("node", F.col("class").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
+    pairs = outside.join(inside, "node").where(_sizes_fit(limit) & (F.col("part_a") != F.col("part_b")))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _sizes_fit(limit: Fraction) -> Column:
     """Sets whose sizes differ by more than the threshold allows cannot be linked."""
-    return (F.least("size_a", "size_b") * limit.denominator >= F.greatest("size_a", "size_b") * limit.numerator)
+    return F.least("size_a", "size_b") * limit.denominator >= F.greatest("size_a", "size_b") * limit.numerator
 
 
-def _link_counts(parts: DataFrame, facts: DataFrame, sets: DataFrame, classes: DataFrame, limit: Fraction) -> DataFrame:
-    """(class, n_links): links within each connected part, decided by distances to the part's smallest class where they can be."""
+def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(part, shingles): of each part the set of shingles that at least half of its classes hold."""
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.frombuffer(x, dtype=np.int64) for x in batch["shingles"]]
+            if found:
+                yield pd.DataFrame({"part": np.repeat(batch["part"].to_numpy(), [len(x) for x in found]), "shingle": np.concatenate(found)})
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            # Sorted as unsigned numbers, as the sets are.
+            own = [np.sort(np.asarray(x, dtype=np.int64).view(np.uint64)).tobytes() for x in batch["shingles"]]
+            yield pd.DataFrame({"part": batch["part"], "shingles": own})
+
+    rows = sets.join(members.select("class", "part"), "class").select("part", "shingles").mapInPandas(spread, "part binary, shingle long")
+    counts = rows.groupBy("part", "shingle").agg(F.count("*").alias("k"))
+    sizes = written(members.groupBy("part").agg(F.count("*").alias("n")), "nd-sizes")
+    common = written(counts, "nd-shingles").join(sizes, "part").where(F.col("k") * 2 >= F.col("n"))
+    return common.groupBy("part").agg(F.collect_list("shingle").alias("shingles")).mapInPandas(gather, "part binary, shingles binary")
+
+
+def _link_counts(parts: DataFrame, sets: DataFrame, classes: DataFrame, limit: Fraction) -> DataFrame:
+    """(class, n_links): links within each connected part, decided by distances to its centre where they can be.
+
+    The centre of a part is the set of the shingles that at least half of its
+    classes hold; copies of one text with edits of their own lie close to it.
+    """
     bound = float(1 - limit)
-    others = parts.where(F.col("class") != F.col("part")).select(F.col("class").alias("a"), F.col("part").alias("b"))
-    known = facts.select("a", "b", "distance")
-    missing = written(others.join(known, ["a", "b"], "left_anti"), "nd-hub-pairs")
-    measured = known.union(_verified(missing, sets, limit).select("a", "b", "distance"))
-    spokes = others.join(measured, ["a", "b"]).groupBy(F.col("a").alias("class"), F.col("b").alias("part")).agg(F.min("distance").alias("distance"))
-    hubs = spokes.select(F.col("part").alias("class"), "part", F.lit(0.0).alias("distance")).distinct()
-    near = written(
-        spokes.union(hubs).join(classes.select("class", "size", F.hex("sig").alias("sig")), "class").withColumn("core", F.col("distance") <= bound / 2), "nd-spokes"
-    )
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    sized = written(parts.join(written(sizes.where("n > 1"), "nd-part-sizes"), "part"), "nd-sized")
+    pairs = sized.where("n = 2").select("class", F.lit(1).cast("long").alias("n_links"))
+    larger = written(sized.where("n > 2").select("class", "part"), "nd-larger")
+    centres = written(_centres(larger, sets), "nd-centres")
+    measured = _verified(larger.select(F.col("class").alias("a"), F.col("part").alias("b")), sets, limit, centres.withColumnRenamed("part", "class"))
+    near = measured.select(F.col("a").alias("class"), F.col("b").alias("part"), "distance").join(classes.select("class", "size"), "class")
+    near = written(near.withColumn("core", F.col("distance") <= bound / 2), "nd-spokes")
     # Members of the core are at most the bound apart.
     cores = written(near.where("core").groupBy("part").agg(F.count("*").alias("n")), "nd-cores")
     in_core = near.where("core").join(cores, "part").select("class", (F.col("n") - 1).alias("n_links"))
-    fringe = near.where(~F.col("core")).select(
-        "part", F.col("class").alias("a"), F.col("distance").alias("d_a"), F.col("size").alias("size_a"), F.col("sig").alias("sig_a")
-    )
+    fringe = near.where(~F.col("core")).select("part", F.col("class").alias("a"), F.col("distance").alias("d_a"), F.col("size").alias("size_a"))
     fringe = written(fringe, "nd-fringe")
     whole = near.join(fringe.select("part").distinct(), "part", "left_semi").select(
-        F.col("part").alias("part_b"), F.col("class").alias("b"), F.col("distance").alias("d_b"), F.col("size").alias("size_b"), F.col("sig").alias("sig_b"), "core"
+        "part", F.col("class").alias("b"), F.col("distance").alias("d_b"), F.col("size").alias("size_b"), "core"
     )
-    whole = written(whole, "nd-whole")
     # A pair of two fringe members is met from both sides, so it is taken once.
-    met = fringe.join(
-        whole,
-        (F.col("part") == F.col("part_b"))
-        & (F.col("core") | (F.col("a") < F.col("b")))
+    met = fringe.join(written(whole, "nd-whole"), "part").where(
+        (F.col("core") | (F.col("a") < F.col("b")))
         & (F.col("a") != F.col("b"))
         & _sizes_fit(limit)
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= bound + 1e-9),
-    ).where(_agreement(F.col("sig_a"), F.col("sig_b"), TREES * DEPTH) >= ESTIMATE_FLOOR)
-    linked = _verified(written(met.select("a", "b"), "nd-undecided"), sets, limit).where("linked")
-    linked = written(linked.select("a", "b"), "nd-fringe-links")
+        & (F.abs(F.col("d_a") - F.col("d_b")) <= bound + 1e-9)
+    )
+    met = written(met.select("a", "b", (F.col("d_a") + F.col("d_b") <= bound).alias("sure")), "nd-met")
+    open_pairs = written(_estimated(met.where(~F.col("sure")).select("a", "b"), classes), "nd-undecided")
+    linked = _verified(open_pairs, sets, limit).where("linked").select("a", "b").union(met.where("sure").select("a", "b"))
+    linked = written(linked, "nd-fringe-links")
     at_fringe = linked.select(F.col("a").alias("class")).union(linked.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
-    return written(in_core.union(at_fringe).groupBy("class").agg(F.sum("n_links").cast("long").alias("n_links")), "nd-counts")
+    return written(pairs.union(in_core).union(at_fringe).groupBy("class").agg(F.sum("n_links").cast("long").alias("n_links")), "nd-counts")
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
