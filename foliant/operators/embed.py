@@ -8,6 +8,8 @@ weighs tokens by rarity, ``precomputed`` joins stored vectors and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import md5
+from math import sqrt
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -29,6 +31,30 @@ def hashing(text: Column, config: EngineConfig = DEFAULT) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(config.dimensions - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double"))
 
 
+def similarity(own: Column, text: str, config: EngineConfig = DEFAULT) -> Column:
+    """Cosine of hashed texts, from the buckets of one and the other's text; equal to that of their vectors.
+
+    The product looks each word up in the other's counts, and the squared norm
+    grows by 2n + 1 with the n-th repeat in sorted buckets, so no vector is built.
+    """
+    counts = [0] * config.dimensions
+    for word in text[: config.embedded_characters].lower().split():
+        counts[int(md5(word.encode()).hexdigest()[:8], 16) % config.dimensions] += 1
+    norm = sqrt(sum(c * c for c in counts))
+    if not norm:
+        return F.lit(0.0)
+    table = F.array(*map(F.lit, counts))
+    product = F.aggregate(own, F.lit(0).cast("long"), lambda t, b: t + F.get(table, b.cast("int")))
+    start = F.struct(F.lit(-1).cast("long").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("total"))
+
+    def step(state: Column, b: Column) -> Column:
+        run = F.when(state["last"] == b, state["run"] + 1).otherwise(F.lit(0).cast("long"))
+        return F.struct(b.alias("last"), run.alias("run"), (state["total"] + 2 * run + 1).alias("total"))
+
+    own_norm = F.sqrt(F.aggregate(F.array_sort(own), start, step, lambda state: state["total"]).cast("double"))
+    return F.when(F.size(own) > 0, product / (own_norm * norm)).otherwise(F.lit(0.0))
+
+
 def tfidf_similarity(texts: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     """(id, similarity): weighted cosine of each text with a query text, by joins on tokens."""
     tokens = texts.select(F.col(id_col).alias("id"), F.explode(words(F.lower(F.col(text_col)))).alias("token"))

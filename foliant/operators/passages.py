@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from foliant import config as C
 from foliant.config import DEFAULT, EngineConfig
 from foliant.functions.score import cosine, passage_bonus
 from foliant.functions.text import best_topic, contains_any, count_of, distinct_words, stripped, words
-from foliant.operators.embed import hashing
+from foliant.operators.embed import buckets, hashing, similarity
 from foliant.operators.ranking import first_per, passage_allowed, profile_text
 
 
@@ -18,6 +19,10 @@ def flattened(text: Column) -> Column:
     return stripped(F.replace(F.replace(text, F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")))
 
 
+def _splitter(delimiter: str):
+    return lambda part: F.split(part, "\\Q" + delimiter + "\\E")
+
+
 def semantic_passages(title: Column, text: Column, ingredient_cues=C.PASSAGE_INGREDIENT_CUES, instruction_cues=C.PASSAGE_INSTRUCTION_CUES) -> Column:
     """Array of passages: pieces between sentence ends, cut where both kinds of cue were seen.
 
@@ -25,7 +30,7 @@ def semantic_passages(title: Column, text: Column, ingredient_cues=C.PASSAGE_ING
     """
     parts = F.array(flattened(text))
     for delimiter in C.PASSAGE_DELIMITERS:
-        parts = F.flatten(F.transform(parts, lambda p, d=delimiter: F.split(p, "\\Q" + d + "\\E")))
+        parts = F.flatten(F.transform(parts, _splitter(delimiter)))
     pieces = F.filter(F.transform(parts, stripped), lambda p: p != "")
     empty = F.array().cast("array<string>")
     start = F.struct(empty.alias("done"), empty.alias("open"), F.lit(False).alias("a"), F.lit(False).alias("b"))
@@ -132,11 +137,11 @@ def without_near_duplicates(rows: DataFrame, group: list[str], order: str, vecto
 
 
 def scored_passages(passages: DataFrame, persona: str, job: str, is_recipe: bool = False, config: EngineConfig = DEFAULT) -> DataFrame:
-    own = F.col("passage_embedding")
-    similar = lambda text: cosine(own, hashing(F.lit(text), config))
+    passages = passages.withColumn("buckets", buckets(F.col("passage"), config))
+    similar = lambda text: similarity(F.col("buckets"), text, config)
     base = similar(profile_text("role", persona)) * config.passage_persona_weight + similar(profile_text("task", job)) * config.passage_job_weight
     with_parts = passages.withColumn("base_similarity", base).withColumn("quality_bonus", passage_bonus(F.col("passage"), is_recipe, config))
-    return with_parts.withColumn("score", F.round(F.col("base_similarity") + F.col("quality_bonus"), 9))
+    return with_parts.withColumn("score", F.round(F.col("base_similarity") + F.col("quality_bonus"), 9)).drop("buckets")
 
 
 def best_passages(passages: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -184,8 +189,6 @@ def sentences(text: str) -> list[str]:
 
 def split_sentences(rows: DataFrame, text_col: str) -> DataFrame:
     """``rows`` with (sentence_no, sentence)."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sentences(t or ""))

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from foliant import config as C
 from foliant.config import DEFAULT, EngineConfig
-from foliant.functions.score import cosine, keyword_boost, min_max, section_quality, title_penalty
+from foliant.functions.score import keyword_boost, min_max, section_quality, title_penalty
 from foliant.functions.text import contains_any, stripped
-from foliant.operators.embed import hashing
+from foliant.operators.embed import buckets, similarity
 
 INPUT_ORDER = ("doc_ord", "section_no")
 
@@ -57,12 +57,12 @@ def distinct_collection_titles(sections: DataFrame) -> DataFrame:
 
 def scored(sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
     """Sections with base similarity, quality, penalty, boost and score."""
-    own, title, content = hashing(F.concat_ws(" ", "title", "content"), config), F.col("title"), F.col("content")
-    sections = sections.withColumn("embedding", own)
-    similar = lambda text: cosine(F.col("embedding"), hashing(F.lit(text), config))
+    title, content = F.col("title"), F.col("content")
+    sections = sections.withColumn("buckets", buckets(F.concat_ws(" ", "title", "content"), config))
+    similar = lambda text: similarity(F.col("buckets"), text, config)
     base = similar(profile_text("role", persona)) * config.persona_weight + similar(profile_text("task", job)) * config.job_weight
     parts = sections.select(
-        "*",
+        *[c for c in sections.columns if c != "buckets"],
         base.alias("base_similarity"),
         section_quality(title, content, config).alias("quality_score"),
         title_penalty(title, config).alias("penalty"),

@@ -35,7 +35,7 @@ def _as_input(found: DataFrame) -> DataFrame:
 
 def run(blocks: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
     """One nested result per collection."""
-    ranked = ranking.ranked(standard_sections_of(blocks, config), persona, job, config).drop("embedding")
+    ranked = ranking.ranked(standard_sections_of(blocks, config), persona, job, config)
     best = passages.passages_of(ranked, persona, job, config)
     collections = blocks.groupBy(F.col("source").alias("collection")).agg(
         F.array_sort(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))).alias("input_documents")
