@@ -335,7 +335,9 @@ def outline_entries(headings: DataFrame) -> DataFrame:
 def without_repeated_words(text: Column) -> Column:
     """Consecutive repeats of a word become one."""
     own = words(text)
-    return F.array_join(F.filter(own, lambda w, i: (i == 0) | (F.lower(w) != F.lower(F.get(own, i - 1)))), " ")
+    before = F.concat(F.array(F.lit("")), F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))))
+    pairs = F.zip_with(own, before, lambda w, b: F.struct(w.alias("w"), b.alias("b")))
+    return F.array_join(F.transform(F.filter(pairs, lambda p: F.lower(p["w"]) != F.lower(F.coalesce(p["b"], F.lit("")))), lambda p: p["w"]), " ")
 
 
 def build_outline(headings: DataFrame) -> DataFrame:

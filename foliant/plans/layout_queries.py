@@ -254,7 +254,7 @@ _TRI = lambda e: f"(CASE WHEN length({e}) >= 3 THEN list_distinct(list_transform
 
 @query(
     "trigram_jaccard",
-    f"""WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, lower(substr(a.text, 1, 80)) AS x, lower(substr(b.text, 1, 80)) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+    f"""WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, lower(regexp_replace(substr(a.text, 1, 80), '\\s+', '', 'g')) AS x, lower(regexp_replace(substr(b.text, 1, 80), '\\s+', '', 'g')) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
         t AS (SELECT a_id, b_id, {_TRI('x')} AS s, {_TRI('y')} AS u FROM p)
         SELECT a_id, b_id, round(len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) AS jaccard FROM t""",
 )
@@ -266,16 +266,18 @@ def trigram_jaccard(s, d):
     return pairs.select("a_id", "b_id", F.round(ocr_merge.trigram_jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
 
 
-_OCR = "SELECT doc_id, page_number, block_no, CASE WHEN block_no % 3 = 0 THEN upper(text) WHEN block_no % 3 = 1 THEN 'scan ' || block_no ELSE text END AS text, x + 4 AS x, y + CASE WHEN block_no % 5 = 0 THEN 200 ELSE 2 END AS y, width, height FROM blocks"
+_OCR = "SELECT doc_id, page_number, block_no, CASE WHEN block_no % 3 = 0 THEN replace(text, 'e', 'E') WHEN block_no % 3 = 1 THEN 'scan ' || block_no ELSE text END AS text, x + 4 AS x, y + CASE WHEN block_no % 5 = 0 THEN 200 ELSE 2 END AS y, width, height FROM blocks"
+_BARE = "lower(regexp_replace(text, '\\s+', '', 'g'))"
 _SHORT = "SELECT doc_id, page_number, block_no, substr(text, 1, 60) AS text, x, y, width, height FROM blocks"
 
 
 @query(
     "ocr_overlap_antijoin",
-    f"""WITH {S.BLOCKS}, o AS ({_SHORT}), r AS (SELECT * REPLACE (substr(text, 1, 60) AS text) FROM ({_OCR})), m AS (SELECT DISTINCT r.doc_id, r.block_no FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_number = r.page_number
+    f"""WITH {S.BLOCKS}, o AS (SELECT *, {_BARE} AS bare FROM ({_SHORT})), r AS (SELECT *, {_BARE} AS bare FROM (SELECT * REPLACE (substr(text, 1, 60) AS text) FROM ({_OCR}))), m AS (SELECT DISTINCT r.doc_id, r.block_no FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_number = r.page_number
           WHERE least(o.x + o.width, r.x + r.width) > greatest(o.x, r.x) AND least(o.y + o.height, r.y + r.height) > greatest(o.y, r.y)
             AND (least(o.x + o.width, r.x + r.width) - greatest(o.x, r.x)) * (least(o.y + o.height, r.y + r.height) - greatest(o.y, r.y)) / least(o.width * o.height, r.width * r.height) > 0.3
-            AND len(list_intersect({_TRI('lower(o.text)')}, {_TRI('lower(r.text)')})) / greatest(len(list_distinct(list_concat({_TRI('lower(o.text)')}, {_TRI('lower(r.text)')}))), 1) > 0.6)
+            AND o.bare <> '' AND r.bare <> '' AND CASE WHEN length(o.bare) < 3 AND length(r.bare) < 3 THEN 1.0
+              ELSE len(list_intersect({_TRI('o.bare')}, {_TRI('r.bare')})) / len(list_distinct(list_concat({_TRI('o.bare')}, {_TRI('r.bare')}))) END > 0.6)
         SELECT doc_id, block_no, text, false AS from_ocr FROM o UNION ALL SELECT doc_id, block_no, text, true FROM r
         WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = r.doc_id AND m.block_no = r.block_no)""",
 )
@@ -284,7 +286,7 @@ def ocr_overlap_antijoin(s, d):
     n = F.col("block_no") % 3
     scans = own.withColumns(
         {
-            "text": F.when(n == 0, F.upper("text")).when(n == 1, F.concat(F.lit("scan "), F.col("block_no").cast("string"))).otherwise(F.col("text")),
+            "text": F.when(n == 0, F.replace("text", F.lit("e"), F.lit("E"))).when(n == 1, F.concat(F.lit("scan "), F.col("block_no").cast("string"))).otherwise(F.col("text")),
             "x": F.col("x") + 4,
             "y": F.col("y") + F.when(F.col("block_no") % 5 == 0, 200).otherwise(2),
         }
