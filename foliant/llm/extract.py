@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,7 +79,8 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     linked: list[str] = []
     stack: list[tuple[str, bool]] = []  # open block elements: name, is furniture
     furniture = marked = links = 0
-    at, size, low = 0, len(page), None
+    opened: Counter[str] = Counter()
+    at, size, low, last = 0, len(page), None, page.rfind(">")
 
     def taken() -> tuple[str, int, bool, bool]:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -103,11 +105,10 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             end = page.find("-->", m.end())
             at = size if end < 0 else end + 3
             continue
-        end = _tag_end(page, m.end())
-        if end < 0:  # no tag after all
-            add(page[m.start() : m.end()])
-            at = m.end()
-            continue
+        end = _tag_end(page, m.end()) if m.end() <= last else -1
+        if end < 0:  # no tag ends behind this place
+            add(page[m.start() :])
+            break
         at = end + 1
         if m[4]:
             continue
@@ -126,9 +127,10 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         if name in VOID:
             continue
         if closing:
-            if any(open_name == name for open_name, _ in stack):
+            if opened[name]:
                 while stack:
                     open_name, was = stack.pop()
+                    opened[open_name] -= 1
                     furniture -= was
                     marked -= open_name in MARKED
                     if open_name == name:
@@ -139,6 +141,7 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(inside))
             is_furniture = name in BOILERPLATE or name in UNRENDERED or bool(names and FURNITURE.search(names))
             stack.append((name, is_furniture))
+            opened[name] += 1
             furniture += is_furniture
             marked += name in MARKED
     yield taken()
