@@ -12,16 +12,16 @@ every member is compared with the pivot only, exactly, on the whole sets:
 
 1. each member with the smallest of its pivots;
 2. members with their other pivots, where the two are not connected yet;
-3. members not connected to the pivot of a node with the node's other members
-   that they are not connected to (such members are few, as a node's members
-   mostly are copies of one text).
+3. the classes of parts that met in a node but are not connected, with each
+   other, in tiles of sets multiplied as matrices: a tile gives at most one link
+   for two parts, so texts just below the threshold never become rows of pairs.
 
 So no link between parts that are not connected otherwise is lost.  Links are
 then counted within each connected part around its centre, the set of shingles
 that at least half of its classes hold, using that Jaccard distance is a metric:
 classes within half the distance bound of the centre are all linked to each
-other, classes whose distances to it differ by more than the bound are not, and
-only the pairs that the centre does not decide are compared.
+other.  The links of classes further out are counted in tiles of sets by matrix
+products, which give a count per class and no row per pair.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased;
 a text of one to four words is one shingle; texts without words are one class
@@ -48,10 +48,11 @@ THRESHOLD = 0.8
 TREES = 32
 DEPTH = 8
 TARGET_RECALL = 0.999
-#: Pairs whose signatures agree in a smaller share are not compared: six standard deviations below the threshold.
-ESTIMATE_FLOOR = 0.65
 _LABEL_BYTES = 2
 _CHUNK = 2048
+#: Sets on either side of a tile in which links are counted, about, and shingles multiplied at a time.
+TILE_ROWS = 512
+TILE_SHINGLES = 8192
 
 _WORD = re.compile(r"\w+")
 
@@ -60,7 +61,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, computed once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
         return found
@@ -187,21 +188,6 @@ def _jumped(labels: DataFrame) -> DataFrame:
     return labels.join(further, "part", "left").select("class", F.least("part", F.coalesce("further", "part")).alias("part"))
 
 
-def _estimated(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree well enough for the threshold."""
-
-    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                left, right = (np.frombuffer(b"".join(batch[c]), dtype=np.uint16).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
-                yield batch.loc[(left == right).mean(axis=1) >= ESTIMATE_FLOOR, ["a", "b"]]
-
-    joined = pairs.join(signatures.select(F.col("class").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        signatures.select(F.col("class").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
-    return joined.select("a", "b", "sig_a", "sig_b").mapInPandas(agree, "a binary, b binary")
-
-
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -247,10 +233,9 @@ def near_duplicates(
     facts = facts.union(written(_verified(rest, sets, limit), "nd-facts"))
     parts = written(connected(involved, facts.where("linked")), "nd-parts")
 
-    loose = written(_loose(members, parts, classes, limit).join(facts, ["a", "b"], "left_anti"), "nd-loose")
-    more = written(_verified(written(_estimated(loose, classes), "nd-loose"), sets, limit), "nd-facts")
-    if not more.where("linked").isEmpty():
-        parts = written(connected(involved, facts.union(more).where("linked")), "nd-parts")
+    bridges = _bridges(members, parts, sets, limit)
+    if not bridges.isEmpty():
+        parts = written(connected(involved, facts.where("linked").select("a", "b").union(bridges)), "nd-parts")
 
     groups = classes.select("class", "id", "copies").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     names = groups.groupBy("part").agg(F.min("id").alias("class_id"))
@@ -271,22 +256,33 @@ def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     )
 
 
-def _loose(members: DataFrame, parts: DataFrame, classes: DataFrame, limit: Fraction) -> DataFrame:
-    """Pairs in a node that its pivot does not connect: one end is outside the pivot's part."""
-    known = members.join(parts, "class").join(parts.select(F.col("class").alias("pivot"), F.col("part").alias("pivot_part")), "pivot")
-    known = known.join(classes.select("class", "size"), "class").select("node", "class", "part", "pivot_part", "size")
-    known = written(known, "nd-known")
-    outside = known.where(F.col("part") != F.col("pivot_part"))
-    outside = written(outside.select("node", F.col("class").alias("a"), F.col("part").alias("part_a"), F.col("size").alias("size_a")), "nd-outside")
-    inside = written(known.join(outside.select("node").distinct(), "node", "left_semi"), "nd-inside")
-    inside = inside.select("node", F.col("class").alias("b"), F.col("part").alias("part_b"), F.col("size").alias("size_b"))
-    pairs = outside.join(inside, "node").where(_sizes_fit(limit) & (F.col("part_a") != F.col("part_b")))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
+def _bridges(members: DataFrame, parts: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """Links (a, b) between parts that met in a trie node without being connected by its pivot.
 
-def _sizes_fit(limit: Fraction) -> Column:
-    """Sets whose sizes differ by more than the threshold allows cannot be linked."""
-    return F.least("size_a", "size_b") * limit.denominator >= F.greatest("size_a", "size_b") * limit.numerator
+    Parts that met form clusters; a cluster's classes are compared tile by
+    tile, and a tile gives one link for two parts at most, so groups of texts
+    just below the threshold do not become rows of pairs.
+    """
+    met = members.join(parts, "class").join(parts.select(F.col("class").alias("pivot"), F.col("part").alias("other")), "pivot")
+    met = written(met.where("part != other").groupBy(F.col("part").alias("a"), F.col("other").alias("b")).agg(F.lit(1).alias("x")).select("a", "b"), "nd-met")
+    ends = met.select(F.col("a").alias("class")).union(met.select("b")).distinct()
+    clusters = written(connected(ends, met).select(F.col("class").alias("part"), F.col("part").alias("cluster")), "nd-clusters")
+    inside = written(parts.join(clusters, "part"), "nd-inside")
+    sizes = written(inside.groupBy("cluster").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")), "nd-cluster-sizes")
+    own = inside.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    left = own.select("cluster", F.col("block").alias("row"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("column"), "class", "part", F.lit(True).alias("is_row"))
+    right = own.select("cluster", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("row"), F.col("block").alias("column"), "class", "part", F.lit(False).alias("is_row"))
+    placed = written(left.union(right), "nd-cluster-tiles").join(sets, "class")
+
+    def find(tile: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = tile[tile["is_row"]], tile[~tile["is_row"]]
+        linked = _linked(rows["shingles"], columns["shingles"], limit)
+        linked &= rows["part"].to_numpy()[:, None] != columns["part"].to_numpy()[None, :]
+        at, to = np.nonzero(linked)
+        out = pd.DataFrame({"a": rows["class"].to_numpy()[at], "b": columns["class"].to_numpy()[to], "x": rows["part"].to_numpy()[at], "y": columns["part"].to_numpy()[to]})
+        return out.drop_duplicates(["x", "y"])[["a", "b"]]
+
+    return written(placed.groupBy("cluster", "row", "column").applyInPandas(find, "a binary, b binary"), "nd-bridges")
 
 
 def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -329,24 +325,65 @@ def _link_counts(parts: DataFrame, sets: DataFrame, classes: DataFrame, limit: F
     # Members of the core are at most the bound apart.
     cores = written(near.where("core").groupBy("part").agg(F.count("*").alias("n")), "nd-cores")
     in_core = near.where("core").join(cores, "part").select("class", (F.col("n") - 1).alias("n_links"))
-    fringe = near.where(~F.col("core")).select("part", F.col("class").alias("a"), F.col("distance").alias("d_a"), F.col("size").alias("size_a"))
-    fringe = written(fringe, "nd-fringe")
-    whole = near.join(fringe.select("part").distinct(), "part", "left_semi").select(
-        "part", F.col("class").alias("b"), F.col("distance").alias("d_b"), F.col("size").alias("size_b"), "core"
+    at_fringe = _fringe_links(near, sets, limit)
+    return written(pairs.union(in_core).union(at_fringe).groupBy("class").agg(F.sum("n_links").cast("long").alias("n_links")), "nd-counts")
+
+
+def _fringe_links(near: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(class, n_links): links with an end outside the core, counted tile by tile; no pair becomes a row.
+
+    Of a part's classes those of the fringe are dealt into blocks and all of
+    them into blocks; a tile is one block of either.  A class of the core gets
+    its count from the tiles' columns, one of the fringe from their rows, so a
+    pair of two fringe classes counts once for each.
+    """
+    counts = near.groupBy("part").agg(F.count("*").alias("n"), F.sum((~F.col("core")).cast("int")).alias("outside")).where("outside > 0")
+    block = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
+    sized = written(counts.select("part", block("outside").alias("rows"), block("n").alias("columns")), "nd-tiles")
+    whole = near.join(sized, "part").withColumn("at", F.xxhash64("class"))
+    left = whole.where(~F.col("core")).select(
+        "part", F.pmod("at", "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "class", F.lit(True).alias("is_row"), "core"
     )
-    # A pair of two fringe members is met from both sides, so it is taken once.
-    met = fringe.join(written(whole, "nd-whole"), "part").where(
-        (F.col("core") | (F.col("a") < F.col("b")))
-        & (F.col("a") != F.col("b"))
-        & _sizes_fit(limit)
-        & (F.abs(F.col("d_a") - F.col("d_b")) <= bound + 1e-9)
+    right = whole.select(
+        "part", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("at", "columns").cast("int").alias("column"), "class", F.lit(False).alias("is_row"), "core"
     )
-    met = written(met.select("a", "b", (F.col("d_a") + F.col("d_b") <= bound).alias("sure")), "nd-met")
-    open_pairs = written(_estimated(met.where(~F.col("sure")).select("a", "b"), classes), "nd-undecided")
-    linked = _verified(open_pairs, sets, limit).where("linked").select("a", "b").union(met.where("sure").select("a", "b"))
-    linked = written(linked, "nd-fringe-links")
-    at_fringe = linked.select(F.col("a").alias("class")).union(linked.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
-    return written(pairs.union(in_core).union(at_fringe).groupBy("class").agg(F.sum("n_links").cast("long").alias("n_links")), "nd-counts")
+    placed = written(left.union(right), "nd-placed").join(sets, "class")
+
+    def count(tile: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = tile[tile["is_row"]], tile[~tile["is_row"]]
+        linked = _linked(rows["shingles"], columns["shingles"], limit)
+        linked &= rows["class"].to_numpy()[:, None] != columns["class"].to_numpy()[None, :]
+        inner = columns["core"].to_numpy(bool)
+        return pd.DataFrame(
+            {
+                "class": np.concatenate([rows["class"].to_numpy(), columns["class"].to_numpy()[inner]]),
+                "n_links": np.concatenate([linked.sum(axis=1), linked.sum(axis=0)[inner]]).astype(np.int64),
+            }
+        )
+
+    return placed.groupBy("part", "row", "column").applyInPandas(count, "class binary, n_links long")
+
+
+def _linked(rows: pd.Series, columns: pd.Series, limit: Fraction) -> np.ndarray:
+    """Which of the sets are linked: shared shingles by matrix products over slices of those on both sides."""
+    left, right = ([np.frombuffer(x, np.uint64) for x in side] for side in (rows, columns))
+    shared = np.zeros((len(left), len(right)), dtype=np.int64)
+    common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True) if left and right else np.zeros(0, np.uint64)
+    for at in range(0, len(common), TILE_SHINGLES):
+        part = common[at : at + TILE_SHINGLES]
+        a, b = (_incidence(side, part) for side in (left, right))
+        shared += (a @ b.T).astype(np.int64)
+    sizes = np.add.outer(np.array([len(x) for x in left]), np.array([len(x) for x in right])) - shared
+    return shared * limit.denominator >= sizes * limit.numerator
+
+
+def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(shingles)), dtype=np.float32)
+    for i, own in enumerate(sets):
+        inside = own[np.searchsorted(own, shingles[0]) : np.searchsorted(own, shingles[-1], side="right")]
+        at = np.searchsorted(shingles, inside)
+        out[i, at[shingles[np.minimum(at, len(shingles) - 1)] == inside]] = 1
+    return out
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

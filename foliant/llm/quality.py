@@ -149,7 +149,7 @@ def features(text: str, places: dict[str, tuple[int, int]]) -> tuple[np.ndarray,
     words = text.split()
     n = max(1, len(words))
     index, value = [0, 1], [1.0, sum(map(eq, words, words[1:])) / n]  # bias, share of repeated words
-    if len(places) > 500_000:
+    if len(places) > 150_000:
         places.clear()
     for word, count in Counter(words).items():
         at = places.get(word)
