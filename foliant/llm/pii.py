@@ -37,10 +37,10 @@ TRAINING_SENTENCES = 600
 #: Least margin, in log odds, of a segment over leaving its words outside any span.
 MARGIN = 1.0
 
-# The patterns of the base rules.
+# The patterns of the base rules. A number starts at its first digit, so a long run of digits is tried once.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NO_DIGIT = re.compile(r"[^0-9]+")
@@ -213,7 +213,7 @@ class Stretch:
 
 
 _DIGIT_OR_AT = re.compile(r"[0-9@]")
-_TRIGGER = re.compile(r"\S*[0-9@]\S*|(?<!\S)[\[({]?at[\])}]?\s+\S+\s+[\[({]?dot[\])}]?(?!\S)", re.I)
+_TRIGGER = re.compile(r"(?<!\S)\S*[0-9@]\S*|(?<!\S)[\[({]?at[\])}]?\s+\S+\s+[\[({]?dot[\])}]?(?!\S)", re.I)
 
 
 def stretches(text: str) -> Iterator[list[Span]]:
