@@ -6,11 +6,12 @@ WORDS = "river stone bright market letter window garden copper silver winter sum
 
 
 def prose(seed: int, n: int) -> str:
-    """n words, different for every seed."""
+    """n words in sentences, different for every seed."""
     import random
 
     draw = random.Random(seed)
-    return " ".join(draw.choice(WORDS) + (f"{draw.randrange(1000)}" if draw.random() < 0.3 else "") for _ in range(n)) + "."
+    words = [draw.choice(WORDS) + (f"{draw.randrange(1000)}" if draw.random() < 0.3 else "") for _ in range(n)]
+    return " ".join(w + (",."[i // 7 % 2] if i % 7 == 6 else "") for i, w in enumerate(words)).rstrip(".,") + "."
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, class string, score string, spans string, path string"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from foliant.llm.quality import THRESHOLD, fit_label_model, fit_quality, op5_quality_classifier, votes
 from tests.llm.helpers import TROUBLED, documents, prose
@@ -50,5 +51,5 @@ def test_troubled_rows(spark):
 
 def test_no_texts(spark):
     model = fit_quality(documents(spark, []))
-    assert documents(spark, []).select(model.score(documents(spark, [])["text"])).isEmpty()
+    assert documents(spark, []).select(model.score(F.col("text"))).isEmpty()
     assert fit_quality(documents(spark, [(1, None), (2, "")])).labels.low == 0.2
