@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant import config as C
@@ -230,7 +230,8 @@ query("document_type_vote")(lambda s, d: segments.document_kinds(blocks(s, d)))
 @query(
     "heading_intervals",
     f"""WITH {S.BLOCKS}, pages_ AS (SELECT doc_id, page_number - 1 AS page_idx, string_agg(text, chr(10) ORDER BY block_no) AS text FROM blocks GROUP BY ALL),
-        h AS (SELECT doc_id, block_no AS heading_no, page_number - 1 AS page_idx, 0 AS position, text FROM blocks WHERE font_flags = 20 AND block_no % 8 = 0),
+        spots AS (SELECT *, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, page_number ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS position FROM blocks),
+        h AS (SELECT doc_id, block_no AS heading_no, page_number - 1 AS page_idx, position, text FROM spots WHERE font_flags = 20),
         sp AS (SELECT *, lead(page_idx) OVER (PARTITION BY doc_id ORDER BY page_idx, position, heading_no) AS end_page,
                lead(position) OVER (PARTITION BY doc_id ORDER BY page_idx, position, heading_no) AS end_at FROM h),
         j AS (SELECT sp.doc_id, heading_no, p.page_idx, substr(p.text, CASE WHEN p.page_idx = sp.page_idx THEN position ELSE 0 END + 1,
@@ -243,8 +244,10 @@ query("document_type_vote")(lambda s, d: segments.document_kinds(blocks(s, d)))
 def heading_intervals(s, d):
     own = blocks(s, d)
     pages = files.page_texts(own).select("doc_id", (F.col("page_number") - 1).alias("page_idx"), "text")
-    heads = own.where("font_flags = 20 and block_no % 8 = 0").select(
-        "doc_id", F.col("block_no").alias("heading_no"), (F.col("page_number") - 1).alias("page_idx"), F.lit(0).alias("position"), "text"
+    before = Window.partitionBy("doc_id", "page_number").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("int")
+    heads = own.withColumn("position", at).where("font_flags = 20").select(
+        "doc_id", F.col("block_no").alias("heading_no"), (F.col("page_number") - 1).alias("page_idx"), "position", "text"
     )
     return segments.texts_between_headings(pages, heads)
 
@@ -254,12 +257,12 @@ _TRI = lambda e: f"(CASE WHEN length({e}) >= 3 THEN list_distinct(list_transform
 
 @query(
     "trigram_jaccard",
-    f"""WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, lower(regexp_replace(substr(a.text, 1, 80), '\\s+', '', 'g')) AS x, lower(regexp_replace(substr(b.text, 1, 80), '\\s+', '', 'g')) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
+    f"""WITH p AS (SELECT a.item_id AS a_id, b.item_id AS b_id, lower(regexp_replace(a.text, '\\s+', '', 'g')) AS x, lower(regexp_replace(b.text, '\\s+', '', 'g')) AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1),
         t AS (SELECT a_id, b_id, {_TRI('x')} AS s, {_TRI('y')} AS u FROM p)
         SELECT a_id, b_id, round(len(list_intersect(s, u)) / len(list_distinct(list_concat(s, u))), 6) AS jaccard FROM t""",
 )
 def trigram_jaccard(s, d):
-    own = read(s, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("t"))
+    own = read(s, d, "benchmark").select("item_id", F.col("text").alias("t"))
     pairs = own.select(F.col("item_id").alias("a_id"), F.col("t").alias("x")).join(
         own.select((F.col("item_id") - 1).alias("a_id"), F.col("item_id").alias("b_id"), F.col("t").alias("y")), "a_id"
     )
@@ -268,12 +271,12 @@ def trigram_jaccard(s, d):
 
 _OCR = "SELECT doc_id, page_number, block_no, CASE WHEN block_no % 3 = 0 THEN replace(text, 'e', 'E') WHEN block_no % 3 = 1 THEN 'scan ' || block_no ELSE text END AS text, x + 4 AS x, y + CASE WHEN block_no % 5 = 0 THEN 200 ELSE 2 END AS y, width, height FROM blocks"
 _BARE = "lower(regexp_replace(text, '\\s+', '', 'g'))"
-_SHORT = "SELECT doc_id, page_number, block_no, substr(text, 1, 60) AS text, x, y, width, height FROM blocks"
+_SHORT = "SELECT doc_id, page_number, block_no, text, x, y, width, height FROM blocks"
 
 
 @query(
     "ocr_overlap_antijoin",
-    f"""WITH {S.BLOCKS}, o AS (SELECT *, {_BARE} AS bare FROM ({_SHORT})), r AS (SELECT *, {_BARE} AS bare FROM (SELECT * REPLACE (substr(text, 1, 60) AS text) FROM ({_OCR}))), m AS (SELECT DISTINCT r.doc_id, r.block_no FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_number = r.page_number
+    f"""WITH {S.BLOCKS}, o AS (SELECT *, {_BARE} AS bare FROM ({_SHORT})), r AS (SELECT *, {_BARE} AS bare FROM ({_OCR})), m AS (SELECT DISTINCT r.doc_id, r.block_no FROM r JOIN o ON o.doc_id = r.doc_id AND o.page_number = r.page_number
           WHERE least(o.x + o.width, r.x + r.width) > greatest(o.x, r.x) AND least(o.y + o.height, r.y + r.height) > greatest(o.y, r.y)
             AND (least(o.x + o.width, r.x + r.width) - greatest(o.x, r.x)) * (least(o.y + o.height, r.y + r.height) - greatest(o.y, r.y)) / least(o.width * o.height, r.width * r.height) > 0.3
             AND o.bare <> '' AND r.bare <> '' AND CASE WHEN length(o.bare) < 3 AND length(r.bare) < 3 THEN 1.0
@@ -290,9 +293,8 @@ def ocr_overlap_antijoin(s, d):
             "x": F.col("x") + 4,
             "y": F.col("y") + F.when(F.col("block_no") % 5 == 0, 200).otherwise(2),
         }
-    ).withColumn("text", F.substring("text", 1, 60))
-    # The boxes' words are compared on line beginnings here, as a line recogniser gives them.
-    merged = ocr_merge.merged_with_recognised(own.withColumn("text", F.substring("text", 1, 60)), scans)
+    )
+    merged = ocr_merge.merged_with_recognised(own, scans)
     return merged.select("doc_id", "block_no", "text", "from_ocr")
 
 

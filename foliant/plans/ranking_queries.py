@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliant import config as C
@@ -164,18 +165,20 @@ for _name, _sql, _column in (
 @query(
     "cosine_topk",
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-  p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id < 8),
+  p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.v, c.v), 6) AS similarity FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""",
 )
 def cosine_topk(s, d):
+    """Queries are the rows whose id is divisible by 100; blocks of them meet every row by an equi-join."""
     own = read(s, d, "embeddings").select("vec_id", "embedding")
-    asked = F.broadcast(own.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # eight query profiles
-    pairs = own.join(asked, F.col("vec_id") != F.col("query_id"))
+    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    blocks_of_queries = max(1, -(-asked.count() // 1000))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks_of_queries)))
+    rows = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_of_queries - 1).cast("long"))))
+    pairs = rows.join(asked, "block").where("vec_id <> query_id")
     scored = pairs.select("query_id", "vec_id", F.round(scores.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    best = ranking.first_per(scored, "query_id", (F.desc("similarity"), "vec_id"), 5)
-    from pyspark.sql import Window
-
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
 
 
 @query(
@@ -426,7 +429,5 @@ query("full_run")(lambda s, d: run(blocks(s, d), COOK, MENU, DEMO).select("colle
 
 @query("perf_shares", "SELECT source, n, round(n / sum(n) OVER (), 6) AS share FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
 def perf_shares(s, d):
-    from pyspark.sql import Window
-
     sums = read(s, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return sums.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))), 6))
