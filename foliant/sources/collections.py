@@ -17,7 +17,8 @@ INPUT_SCHEMA = (
     "job_to_be_done struct<task:string,job:string,description:string,language:string>"
 )
 REQUIRED = ("challenge_info", "documents", "persona", "job_to_be_done")
-INPUT_NAME = "challenge1b_input.json"
+#: A collection's input file, by the end of its name.
+INPUT_NAME = "*input.json"
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from foliant.streaming.collections import collection_stream, run_stream
 def collection(folder, name, body):
     path = folder / name
     path.mkdir()
-    (path / "challenge1b_input.json").write_text(body if isinstance(body, str) else json.dumps(body))
+    (path / "trip_input.json").write_text(body if isinstance(body, str) else json.dumps(body))
     return path
 
 
