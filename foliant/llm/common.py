@@ -78,5 +78,21 @@ def _file_position():
     return F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
 
 
+#: Rows of whole texts that go to a Python worker at once, at most.
+TEXT_ROWS = 1000
+
+
+def with_text_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself; its session hands texts to Python workers in small Arrow batches from now on.
+
+    A batch stands in memory several times (Arrow buffers on either side and
+    Python strings), so whole texts need smaller ones than rows of numbers.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(setting)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(setting, str(TEXT_ROWS))
+    return df
+
+
 def text_or_empty(column: str):
     return F.coalesce(F.col(column), F.lit(""))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty, written
+from foliant.llm.common import table, text_or_empty, with_text_batches, written
 
 SEED_WORDS = 4
 #: A seed is rare if at most this share of the documents (or this many) holds it.
@@ -192,7 +192,7 @@ def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, thresh
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "item", "begin", "seeds", "words"])
 
-    texts = documents.select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    texts = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     hits = written(texts.mapInPandas(seek, _HIT_SCHEMA), "seed-hits")
     frequency = hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))
     rare = max(RARE_COUNT, int(RARE_SHARE * total))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table
+from foliant.llm.common import table, with_text_batches
 
 #: Lines in a window, and characters a window needs for a surge on a page without a marked article.
 WINDOW = 3
@@ -181,7 +181,7 @@ def extract_text(pages: DataFrame, html_col: str, *keep: str) -> DataFrame:
     def extracted(pages_html: pd.Series) -> pd.Series:
         return pages_html.map(lambda x: main_text(x if isinstance(x, str) else None))
 
-    return pages.select(*keep, extracted(F.col(html_col)).alias("text")).select(
+    return with_text_batches(pages).select(*keep, extracted(F.col(html_col)).alias("text")).select(
         *keep, "text", F.length("text").cast("long").alias("n_chars")
     )
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty, written
+from foliant.llm.common import table, text_or_empty, with_text_batches, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -121,7 +121,7 @@ def _signed(documents: DataFrame, id_col: str, text_col: str, trees: int, deepes
             out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
-    rows = documents.select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = with_text_batches(documents).select(F.col(id_col).cast("string").alias("id"), text_or_empty(text_col).alias("text"))
     kind = documents.schema[id_col].dataType
     return rows.mapInPandas(sign, "id string, class binary, size int, sig binary").withColumn("id", F.col("id").cast(kind))
 

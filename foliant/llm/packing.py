@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, written
+from foliant.llm.common import table, with_text_batches, written
 from foliant.llm.tokens import CHUNK, worker_encoder
 
 CAPACITY = 1024
@@ -73,7 +73,7 @@ def pieces_of(documents: DataFrame, id_col: str, text_col: str, tokenizer_path:
             yield out
 
     # As a string a 64-bit id stays exact beside null ids.
-    rows = documents.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = with_text_batches(documents).select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(encode, _PIECE_SCHEMA)
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty
+from foliant.llm.common import table, text_or_empty, with_text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 SEGMENT_WORDS = 6
@@ -437,7 +437,7 @@ def find_pii(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows.append((*(len(base[k]) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
-    return documents.select(id_col, found(text_or_empty(text_col)).alias("found")).select(id_col, "found.*")
+    return with_text_batches(documents).select(id_col, found(text_or_empty(text_col)).alias("found")).select(id_col, "found.*")
 
 
 def redact(documents: DataFrame, text_col: str) -> DataFrame:
@@ -448,7 +448,7 @@ def redact(documents: DataFrame, text_col: str) -> DataFrame:
     def cleaned(texts: pd.Series) -> pd.Series:
         return texts.map(lambda text: redacted(text, weights) if isinstance(text, str) else None)
 
-    return documents.withColumn(text_col, cleaned(F.col(text_col)))
+    return with_text_batches(documents).withColumn(text_col, cleaned(F.col(text_col)))
 
 
 def redacted(text: str, weights: np.ndarray) -> str:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty
+from foliant.llm.common import table, text_or_empty, with_text_batches
 
 ABSTAIN, LOW, HIGH = 0, 1, 2
 #: Documents with soft labels that the scorer is trained on, at most.
@@ -233,7 +233,7 @@ def fit_quality(documents: DataFrame, text_col: str = "text", training_rows: int
     def voted(texts: pd.Series) -> pd.Series:
         return texts.map(votes)
 
-    text = documents.select(text_or_empty(text_col).alias("text")).where(F.trim("text") != "")
+    text = with_text_batches(documents).select(text_or_empty(text_col).alias("text")).where(F.trim("text") != "")
     patterns = text.select(voted("text").alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).collect()
     histogram = {r["votes"]: int(r["n"]) for r in sorted(patterns, key=lambda r: r["votes"])}
     labels = fit_label_model(histogram)

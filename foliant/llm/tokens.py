@@ -27,7 +27,7 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty, work_path, written
+from foliant.llm.common import table, text_or_empty, with_text_batches, work_path, written
 
 #: A text with more tokens is over the limit.
 TOKEN_LIMIT = 2048
@@ -157,7 +157,7 @@ def count_tokens(
     digest = F.unhex(F.sha2(content, 256)).alias("digest")
     cache = read_cache(spark, cache_dir).where(F.col("version") == version).select("digest", "n_tokens")
     # One text for each distinct digest; copies meet in the map tasks first.
-    distinct = documents.select(digest, content.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = with_text_batches(documents).select(digest, content.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     misses = distinct.join(cache, "digest", "left_anti")
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

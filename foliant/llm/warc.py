@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, work_path, written
+from foliant.llm.common import table, with_text_batches, work_path, written
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 8 << 20
@@ -151,7 +151,7 @@ def write_warc(
             system.move(hidden, path)
             yield pd.DataFrame({"path": [name], "size": [size], "records": [records]})
 
-    rows = with_revisits(pages, id_col, uri_col, payload_col, revisit_bytes)
+    rows = with_revisits(with_text_batches(pages), id_col, uri_col, payload_col, revisit_bytes)
     rows = rows.withColumns({c: F.col(c).cast("string") for c in ("record_id", "refers_to")})  # exact beside nulls
     return written(rows.mapInPandas(write, ARCHIVE_SCHEMA), "warc-archives")
 
