@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One scan of the corpus finds where its word n-grams occur in benchmark items.
-Nearby hits of one item become a passage.  Document frequencies of the seeds
-are counted over all documents; a passage is a candidate if it holds a rare
-seed, or several different seeds of any frequency, so an item that a third of
-all documents copy is still found.  Each candidate is aligned with its item
+Nearby hits of one item become a passage.  Every passage is a candidate, however
+many documents hold its seeds: a seed that many hold may be an item's copies
+themselves.  Equal passages of a batch are aligned once, and a passage whose
+words cannot reach the threshold in any order is not aligned, so frequent
+phrases cost little and no result.  Each other candidate is aligned with its item
 word by word (local alignment, linear gaps); the score is the share of the
 best possible score of the item, so edited and paraphrased copies score by how
 much of the item they keep.
@@ -16,7 +17,8 @@ as ids of the items' own words.
 Defined results
 * words are runs of letters, digits and underscores, lower-cased; null texts
   are empty; items of fewer than ``SEED_WORDS`` words hold no seed and match
-  nothing; empty tables give no rows;
+  nothing, as do copies without a run of so many of an item's words; empty
+  tables give no rows;
 * one row per (doc_id, item_id): rows that repeat a doc_id give one row, the
   best; an id may be null.
 """
@@ -34,11 +36,6 @@ from pyspark.sql import functions as F
 from foliant.llm.common import table, text_or_empty, with_text_batches, written
 
 SEED_WORDS = 4
-#: A seed is rare if at most this share of the documents (or this many) holds it.
-RARE_SHARE = 1e-4
-RARE_COUNT = 5
-#: Different seeds that make a candidate without a rare one.
-COMMON_SEEDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's best possible score from which a document is contaminated.
 THRESHOLD = 0.6
@@ -49,7 +46,6 @@ BATCH = 512
 BATCH_WORDS = 1 << 20
 
 _WORD = re.compile(r"\w+")
-_HIT_SCHEMA = "doc_id string, item long, begin int, seeds array<int>, words binary"
 _SCORE_SCHEMA = "doc_id string, item_id long, score double, begin int, length int"
 
 
@@ -80,9 +76,11 @@ class Items:
         order = np.argsort(self.keys, kind="stable")
         self.keys, self.owners, self.places = self.keys[order], self.owners[order], self.places[order]
         self.distinct, self.first = np.unique(self.keys, return_index=True)
+        self.sizes = np.array([len(w) for w in self.words])
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
 
-    def passages(self, text: str) -> Iterator[tuple[int, int, list[int], bytes]]:
-        """(item, first word, seeds, word ids) of each stretch of a text around hits of one item."""
+    def passages(self, text: str) -> Iterator[tuple[int, int, bytes]]:
+        """(item, first word, word ids) of each stretch of a text around hits of one item."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int32)
         if len(ids) < SEED_WORDS or not len(self.distinct):
@@ -98,19 +96,25 @@ class Items:
         first = self.first[at]
         many = np.append(self.first, len(self.keys))[at + 1] - first
         where = np.repeat(known, many)
-        seed = np.repeat(at, many)
         slot = np.repeat(first, many) + np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
         owner, place = self.owners[slot], self.places[slot]
         order = np.lexsort((where, owner))
-        where, seed, owner, place = where[order], seed[order], owner[order], place[order]
-        size = np.array([len(w) for w in self.words])[owner]
+        where, owner, place = where[order], owner[order], place[order]
+        size = self.sizes[owner]
         breaks = np.flatnonzero((owner[1:] != owner[:-1]) | (where[1:] - where[:-1] > size[1:])) + 1
         for part in np.split(np.arange(len(where)), breaks):
             item, n = int(owner[part[0]]), int(size[part[0]])
             slack = n // 2 + 1
             begin = max(0, int((where[part] - place[part]).min()) - slack)
             end = min(len(ids), int((where[part] - place[part]).max()) + n + slack)
-            yield item, begin, np.unique(seed[part]).tolist(), ids[begin:end].tobytes()
+            yield item, begin, ids[begin:end].tobytes()
+
+    def bound(self, item: int, words: np.ndarray) -> float:
+        """What the passage's score is at most: the share of the item's words that it holds, in any order."""
+        own, wanted = self.counts[item]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        held = np.bincount(at[own[at] == words], minlength=len(own))
+        return np.minimum(held, wanted).sum() / wanted.sum()
 
 
 def seed_keys(ids: np.ndarray) -> np.ndarray:
@@ -162,11 +166,10 @@ def find_contamination(
     size = items.select(F.sum(F.length("text") / 2 + 1).alias("words")).first()["words"] or 0  # a word has 2 characters, or 1 and a space
     groups = max(1, int(-(-size // group_words)))
     keyed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
-    total = documents.count()
     found = None
     for part in range(groups):
         rows = [(r["item_id"], r["text"]) for r in keyed.where(F.col("part") == part).orderBy("item_id", "text").collect()]
-        one = _scan(documents, Items(rows), id_col, text_col, threshold, total)
+        one = _scan(documents, Items(rows), id_col, text_col, threshold)
         found = one if found is None else found.unionByName(one)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max_by(F.struct("begin", "length"), F.struct("score", -F.col("begin"))).alias("at")
@@ -179,48 +182,32 @@ def find_contamination(
     )
 
 
-def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, threshold: float, total: int) -> DataFrame:
-    spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(items)  # at most GROUP_WORDS words and one item
+def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(items)  # at most GROUP_WORDS words and one item
 
-    def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
             rows = [
                 (key, *passage) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for passage in own.passages(text)
             ]
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "item", "begin", "seeds", "words"])
-
-    texts = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    hits = written(texts.mapInPandas(seek, _HIT_SCHEMA), "seed-hits")
-    frequency = hits.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))
-    rare = max(RARE_COUNT, int(RARE_SHARE * total))
-    # No more than the group's seeds.
-    common = spark.sparkContext.broadcast({r["seed"] for r in frequency.where(F.col("df") > rare).collect()})
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, frequent = shared.value, common.value
-        for batch in batches:
-            picked = batch["seeds"].map(lambda x: len(x) >= COMMON_SEEDS or not frequent.issuperset(x))
+            hits = pd.DataFrame(rows, columns=["doc_id", "item", "begin", "words"])
+            once = hits[["item", "words"]].drop_duplicates()
+            able = [own.bound(item, np.frombuffer(x, dtype=np.int32)) >= threshold for item, x in zip(once["item"], once["words"], strict=True)]
             # Like lengths together, so that little is padding.
-            batch = batch[picked].assign(size=batch["words"].map(len)).sort_values("size", kind="stable")
-            for part in _parts(batch):
+            once = once[np.array(able, dtype=bool)].assign(size=lambda x: x["words"].map(len)).sort_values("size", kind="stable")
+            for part in _parts(once):
                 left = [own.words[i] for i in part["item"]]
                 right = [np.frombuffer(x, dtype=np.int32) for x in part["words"]]
                 share = align(left, right) / (MATCH * np.array([len(x) for x in left]))
-                out = pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "item_id": pd.array([own.ids[i] for i in part["item"]], dtype="Int64"),
-                        "score": share,
-                        "begin": part["begin"].to_numpy(),
-                        "length": [len(x) for x in right],
-                    }
-                )
-                yield out[share >= threshold]
-
-    return hits.mapInPandas(score, _SCORE_SCHEMA)
+                scored = part.assign(score=share, length=[len(x) for x in right])[share >= threshold]
+                out = hits.merge(scored, on=["item", "words"])
+                if len(out):
+                    out["item_id"] = pd.array([own.ids[i] for i in out["item"]], dtype="Int64")
+                    yield out[["doc_id", "item_id", "score", "begin", "length"]]
+
+    texts = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return written(texts.mapInPandas(score, _SCORE_SCHEMA), "contaminated")
 
 
 def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:

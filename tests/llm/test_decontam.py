@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from foliant.llm.decontam import GAP, MATCH, MISMATCH, align, find_contamination
+from foliant.llm.decontam import GAP, MATCH, MISMATCH, Items, align, find_contamination
 from tests.llm.helpers import TROUBLED, documents, prose
 
 
@@ -53,6 +53,26 @@ def test_planted_copies_are_found_and_clean_texts_left(spark):
     assert {(r["doc_id"], r["item_id"]) for r in grouped.collect()} == wanted
 
 
+def test_edited_copies_with_one_seed_are_found_in_any_number(spark):
+    words = [f"own{i}" for i in range(15)]
+    edited = " ".join("other" if i in (4, 8, 12) else w for i, w in enumerate(words))  # one run of four is left
+    phrase = " ".join(words[:4])
+    rows = [(i, prose(i, 60) + " " + edited + " " + prose(9000 + i, 60)) for i in range(40)]
+    rows += [(100 + i, edited) for i in range(20)] + [(200 + i, prose(i, 60) + " " + phrase) for i in range(40)]
+    benchmark = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = find_contamination(documents(spark, rows), benchmark).collect()
+    assert sorted((r["doc_id"], r["score"]) for r in found) == [(i, 0.7) for i in [*range(40), *range(100, 120)]]
+
+
+def test_the_bound_is_never_below_the_score():
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        item, passage = (draw.integers(0, 8, draw.integers(4, 30)) for _ in range(2))
+        own = Items([(0, " ".join(f"w{x}" for x in item))])
+        ids = np.array([own.vocabulary.get(f"w{x}", -1) for x in passage], dtype=np.int32)
+        assert own.bound(0, ids) >= align([own.words[0]], [ids])[0] / (MATCH * len(item))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame(items(), "item_id long, text string")
