@@ -20,8 +20,9 @@ So no link between parts that are not connected otherwise is lost.  Links are
 then counted within each connected part around its centre, the set of shingles
 that at least half of its classes hold, using that Jaccard distance is a metric:
 classes within half the distance bound of the centre are all linked to each
-other.  The links of classes further out are counted in tiles of sets by matrix
-products, which give a count per class and no row per pair.
+other.  The links of classes further out, and of parts where no shingle is that
+common, are counted in tiles of sets by matrix products, which give a count per
+class and no row per pair.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased;
 a text of one to four words is one shingle; texts without words are one class
@@ -320,8 +321,9 @@ def _link_counts(parts: DataFrame, sets: DataFrame, classes: DataFrame, limit: F
     larger = written(sized.where("n > 2").select("class", "part"), "nd-larger")
     centres = written(_centres(larger, sets), "nd-centres")
     measured = _verified(larger.select(F.col("class").alias("a"), F.col("part").alias("b")), sets, limit, centres.withColumnRenamed("part", "class"))
-    near = measured.select(F.col("a").alias("class"), F.col("b").alias("part"), "distance").join(classes.select("class", "size"), "class")
-    near = written(near.withColumn("core", F.col("distance") <= bound / 2), "nd-spokes")
+    # A part of drifting texts may have no shingle in half of its classes; without a centre all are fringe.
+    near = larger.join(measured.select(F.col("a").alias("class"), "distance"), "class", "left").join(classes.select("class", "size"), "class")
+    near = written(near.withColumn("core", F.coalesce(F.col("distance") <= bound / 2, F.lit(False))), "nd-spokes")
     # Members of the core are at most the bound apart.
     cores = written(near.where("core").groupBy("part").agg(F.count("*").alias("n")), "nd-cores")
     in_core = near.where("core").join(cores, "part").select("class", (F.col("n") - 1).alias("n_links"))

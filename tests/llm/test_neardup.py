@@ -72,6 +72,15 @@ def test_equals_brute_force(spark, rows, partitions):
     assert own == brute(rows)
 
 
+def test_a_chain_without_a_centre_equals_brute_force(spark):
+    words = prose(4242, 1000).split()
+    chain = [(i, " ".join(words[16 * i : 16 * i + 200])) for i in range(30)]  # neighbours share 180 of 212 shingles
+    wanted = brute(chain)
+    assert {r[1] for r in wanted} == {0} and {r[4] for r in wanted} == {1, 2}
+    found = near_duplicates(documents(spark, chain))
+    assert sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in found.collect()) == wanted
+
+
 def test_troubled_rows(spark):
     found = near_duplicates(documents(spark, TROUBLED)).collect()
     assert len(found) == len(TROUBLED)
