@@ -3,7 +3,10 @@
 The markup is stripped in one pass that starts a new line at every block-level
 tag.  A line's weight is the length of its text outside links, and nothing for
 lines in navigation, headers, footers, sidebars, forms, notices, adverts and
-reader comments.  The weights are summed over sliding windows of lines; text
+reader comments.  The page, body, main and article elements are never such
+furniture, nor is a class for what a block has or lacks (``no-sidebar``); a form
+or named block with most of the page's text and a heading, article or furniture
+of its own is a wrapper if too little text is left outside.  The weights are summed over sliding windows of lines; text
 starts where the sums surge above the threshold and ends at the dive back to
 nothing.  Where a page marks its article (``article`` or ``main``), lines
 outside have no weight and any text inside is enough for a surge.
@@ -46,6 +49,9 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 MARKED = frozenset(("article", "main"))
+#: Never furniture, whatever their names; and what a block holds that wraps a page.
+PAGE = frozenset(("html", "body", "main", "article"))
+WRAPPED = BOILERPLATE | frozenset(("article", "main", "h1", "h2"))
 RAW = frozenset("script style noscript template iframe textarea svg math".split())
 # Words of class, id and role that name page furniture.
 FURNITURE = re.compile(
@@ -56,6 +62,9 @@ FURNITURE = re.compile(
     re.I,
 )
 
+# What a class says about a block that has or lacks furniture: no-sidebar, layout_with-nav.
+_ABOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:no|not|non|has|have|with|without)[_-]\S*", re.I)
+
 _MARKUP = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|([!?]))")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _END = re.compile(r"""[>"']""")
@@ -73,21 +82,59 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
+class _Block:
+    """A furniture block: whether it may turn out to be the page's wrapper, what it wraps, its texts' lengths."""
+
+    __slots__ = ("above", "may_wrap", "wraps", "own", "whole", "undone")
+
+    def __init__(self, above: _Block | None, may_wrap: bool, wraps: bool):
+        self.above, self.may_wrap, self.wraps = above, may_wrap, wraps
+        self.own = self.whole = 0
+        self.undone = False
+
+
+def lines(page: str, surge: int) -> list[tuple[str, int, bool, bool]]:
     """(text, characters in links, is furniture, is in a marked article) of each line of the page."""
+    blocks: list[_Block] = []
+    found = list(_lines(page, blocks))
+    outside = every = 0
+    for text, in_links, block, _ in found:
+        size = max(0, len(text) - in_links)
+        every += size
+        if block:
+            block.own += size
+        else:
+            outside += size
+    for block in reversed(blocks):  # inner blocks come after outer ones
+        block.whole += block.own
+        if block.above:
+            block.above.whole += block.whole
+            block.above.wraps |= block.wraps
+    for block in blocks:
+        if outside >= surge:
+            break
+        if block.may_wrap and block.wraps and block.whole * 2 > every and (not block.above or block.above.undone):
+            block.undone = True
+            outside += block.own
+    return [(text, in_links, bool(block) and not block.undone, inside) for text, in_links, block, inside in found]
+
+
+def _lines(page: str, blocks: list[_Block]) -> Iterator[tuple[str, int, _Block | None, bool]]:
+    """The lines with the innermost furniture block around each; furniture blocks are added in page order."""
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open block elements: name, is furniture
-    furniture = marked = links = 0
+    stack: list[tuple[str, _Block | None]] = []  # open block elements: name, furniture block outside
+    furniture: _Block | None = None
+    marked = links = 0
     opened: Counter[str] = Counter()
     at, size, low, last = 0, len(page), None, page.rfind(">")
 
-    def taken() -> tuple[str, int, bool, bool]:
+    def taken() -> tuple[str, int, _Block | None, bool]:
         text = " ".join(html.unescape("".join(parts)).split())
         in_links = len(" ".join(html.unescape(" ".join(linked)).split())) if linked else 0
         parts.clear()
         linked.clear()
-        return text, in_links, furniture > 0, marked > 0
+        return text, in_links, furniture, marked > 0
 
     def add(text: str) -> None:
         parts.append(text)
@@ -129,9 +176,8 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
         if closing:
             if opened[name]:
                 while stack:
-                    open_name, was = stack.pop()
+                    open_name, furniture = stack.pop()
                     opened[open_name] -= 1
-                    furniture -= was
                     marked -= open_name in MARKED
                     if open_name == name:
                         break
@@ -139,10 +185,14 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
                 links = 0
         elif name not in ("p", "li", "td", "tr", "th", "dt", "dd", "option") and not inside.endswith("/"):
             names = " ".join(x or y or z for x, y, z in _NAMES.findall(inside))
-            is_furniture = name in BOILERPLATE or name in UNRENDERED or bool(names and FURNITURE.search(names))
-            stack.append((name, is_furniture))
+            fixed = name in BOILERPLATE or name in UNRENDERED
+            stack.append((name, furniture))
             opened[name] += 1
-            furniture += is_furniture
+            if furniture and name in WRAPPED:
+                furniture.wraps = True
+            if name not in PAGE and (fixed or (names and FURNITURE.search(_ABOUT.sub(" ", names)))):
+                furniture = _Block(furniture, name == "form" or not fixed, name == "form")
+                blocks.append(furniture)
             marked += name in MARKED
     yield taken()
 
@@ -151,7 +201,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The text between the surge and dive points of the page's line-block distribution."""
     if not page:
         return ""
-    found = list(lines(page))
+    found = lines(page, surge)
     is_marked = any(inside and not skip and text for text, _, skip, inside in found)
     weight = np.array(
         [0 if skip or (is_marked and not inside) else max(0, len(text) - in_links) for text, in_links, skip, inside in found],

@@ -24,6 +24,22 @@ def test_page_without_article():
     assert main_text(page) == f"Head {LONG.strip()} Short."
 
 
+def test_page_wrappers_are_no_furniture():
+    for page in (
+        f"<body class='single no-sidebar'><p>{LONG}</p></body>",
+        f"<div class='layout with-sidebar'><p>{LONG}</p></div>",
+        f"<main class='has-nav'><p>{LONG}</p></main>",
+        f"<article class='post no-comments'><p>{LONG}</p></article>",
+        f"<article class='nav' id='comments'><p>{LONG}</p></article>",
+        f"<form action='/'><nav><a>Home</a></nav><p>{LONG}</p><footer>(c) us</footer></form>",
+        f"<div id='content-sidebar-wrap'><h1></h1><article><p>{LONG}</p></article><aside>Related stories</aside></div>",
+    ):
+        assert main_text(page) == LONG.strip(), page
+    # Readers' comments are furniture, however long, and so is a notice alone.
+    assert main_text(f"<div><p>{LONG}</p></div><div id='comments'><h2>Two</h2><p>{LONG * 3}</p></div>") == LONG.strip()
+    assert main_text(f"<div class='cookie-notice'>{LONG}</div>") == ""
+
+
 def test_troubles():
     assert main_text(None) == "" and main_text("") == "" and main_text("<p>") == ""
     assert main_text("<article>a < b and <!-- never closed") == "a < b and"
