@@ -3,12 +3,13 @@
 The markup is stripped in one pass that starts a new line at every block-level
 tag.  A line's weight is the length of its text outside links, and nothing for
 lines in navigation, headers, footers, sidebars, forms, notices, adverts and
-reader comments.  The page, body, main and article elements are never such
+reader comments, which count as absent.  The page, body, main and article elements are never such
 furniture, nor is a class for what a block has or lacks (``no-sidebar``); a form
 or named block with most of the page's text and a heading, article or furniture
-of its own is a wrapper if too little text is left outside.  The weights are summed over sliding windows of lines; text
-starts where the sums surge above the threshold and ends at the dive back to
-nothing.  Where a page marks its article (``article`` or ``main``), lines
+of its own is a wrapper if too little text is left outside.  The weights are summed over sliding windows of lines, where an
+empty line stands for an element without text and not for the space between two
+tags; a stretch of text ends at the dive to a window of nothing and is kept if
+its sum surges above the threshold, however short its lines are.  Where a page marks its article (``article`` or ``main``), lines
 outside have no weight and any text inside is enough for a surge.
 
 All of it is linear in the page's length; nothing is cut or capped.
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table, with_text_batches
 
-#: Lines in a window, and characters a window needs for a surge on a page without a marked article.
+#: Lines in a window, and characters a stretch needs for a surge on a page without a marked article.
 WINDOW = 3
 SURGE = 60
 
@@ -121,6 +122,7 @@ def lines(page: str, surge: int) -> list[tuple[str, int, bool, bool]]:
 
 def _lines(page: str, blocks: list[_Block]) -> Iterator[tuple[str, int, _Block | None, bool]]:
     """The lines with the innermost furniture block around each; furniture blocks are added in page order."""
+    entered = ""  # the block element that the last tag opened
     parts: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, _Block | None]] = []  # open block elements: name, furniture block outside
@@ -170,7 +172,10 @@ def _lines(page: str, blocks: list[_Block]) -> Iterator[tuple[str, int, _Block |
             links = 0 if closing else 1
         if name in INLINE:
             continue
-        yield taken()
+        line = taken()
+        if line[0] or (closing and name == entered):
+            yield line
+        entered = "" if closing or name in VOID else name
         if name in VOID:
             continue
         if closing:
@@ -201,27 +206,24 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     """The text between the surge and dive points of the page's line-block distribution."""
     if not page:
         return ""
-    found = lines(page, surge)
-    is_marked = any(inside and not skip and text for text, _, skip, inside in found)
+    found = [line for line in lines(page, surge) if not line[2]]
+    is_marked = any(inside and text for text, _, _, inside in found)
     weight = np.array(
-        [0 if skip or (is_marked and not inside) else max(0, len(text) - in_links) for text, in_links, skip, inside in found],
+        [0 if is_marked and not inside else max(0, len(text) - in_links) for text, in_links, _, inside in found],
         dtype=np.int64,
     )
     if is_marked:  # text that is all link is still the article's
-        weight = np.maximum(weight, [int(inside and not skip and bool(text)) for text, _, skip, inside in found])
-    total = np.concatenate(([0], np.cumsum(weight)))
-    sums = total[np.minimum(np.arange(len(weight)) + window, len(weight))] - total[: len(weight)]
+        weight = np.maximum(weight, [int(inside and bool(text)) for text, _, _, inside in found])
     least = 1 if is_marked else surge
-    kept: list[str] = []
-    inside = False
-    for (text, _, _, _), own, ahead in zip(found, weight.tolist(), sums.tolist(), strict=True):
-        if not inside and ahead >= least:
-            inside = True
-        elif inside and ahead == 0:
-            inside = False
-        if inside and own and text:
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(found[i][0] for begin, end in _stretches(weight, window) if weight[begin:end].sum() >= least for i in range(begin, end) if weight[i])
+
+
+def _stretches(weight: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the lines between dives, that is windows without weight."""
+    held = np.flatnonzero(weight)
+    if len(held):
+        cuts = np.flatnonzero(np.diff(held) > window)
+        yield from zip(held[np.append(0, cuts + 1)].tolist(), (held[np.append(cuts, len(held) - 1)] + 1).tolist(), strict=True)
 
 
 def extract_text(pages: DataFrame, html_col: str, *keep: str) -> DataFrame:

@@ -24,6 +24,14 @@ def test_page_without_article():
     assert main_text(page) == f"Head {LONG.strip()} Short."
 
 
+def test_short_blocks_and_text_after_adverts_are_kept():
+    assert main_text(f"<p>{LONG}</p><div class=ad><p>x</p></div><p>After the advert.</p>") == f"{LONG.strip()} After the advert."
+    poem = [f"line {i} is" for i in range(20)]
+    assert main_text("".join(f"<p>{x}</p>\n" for x in poem)) == " ".join(poem)
+    assert main_text("<ul>" + "".join(f"<li>{x}</li>" for x in poem) + "</ul>") == " ".join(poem)
+    assert main_text("<p>too short</p>") == ""
+
+
 def test_page_wrappers_are_no_furniture():
     for page in (
         f"<body class='single no-sidebar'><p>{LONG}</p></body>",
