@@ -9,8 +9,11 @@ or named block with most of the page's text and a heading, article or furniture
 of its own is a wrapper if too little text is left outside.  The weights are summed over sliding windows of lines, where an
 empty line stands for an element without text and not for the space between two
 tags; a stretch of text ends at the dive to a window of nothing and is kept if
-its sum surges above the threshold, however short its lines are.  Where a page marks its article (``article`` or ``main``), lines
-outside have no weight and any text inside is enough for a surge.
+its sum surges above the threshold, however short its lines are.  That holds on
+every page; text that the page marks as its article (``article`` or ``main``)
+gets a bonus of the whole threshold, so any of it is enough for a surge, and
+text outside has to surge by its own length: a stretch also ends where a marked
+article begins or ends.
 
 All of it is linear in the page's length; nothing is cut or capped.
 
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table, with_text_batches
 
-#: Lines in a window, and characters a stretch needs for a surge on a page without a marked article.
+#: Lines in a window, and weight a stretch needs for a surge, which is also the bonus of text in a marked article.
 WINDOW = 3
 SURGE = 60
 
@@ -207,22 +210,19 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     if not page:
         return ""
     found = [line for line in lines(page, surge) if not line[2]]
-    is_marked = any(inside and text for text, _, _, inside in found)
-    weight = np.array(
-        [0 if is_marked and not inside else max(0, len(text) - in_links) for text, in_links, _, inside in found],
-        dtype=np.int64,
+    # In a marked article the bonus makes text that is all link the article's as well.
+    weight = np.array([max(0, len(text) - in_links) + (surge if inside and text else 0) for text, in_links, _, inside in found], dtype=np.int64)
+    marked = np.array([inside for _, _, _, inside in found], dtype=bool)
+    return " ".join(
+        found[i][0] for begin, end in _stretches(weight, marked, window) if weight[begin:end].sum() >= surge for i in range(begin, end) if weight[i]
     )
-    if is_marked:  # text that is all link is still the article's
-        weight = np.maximum(weight, [int(inside and bool(text)) for text, _, _, inside in found])
-    least = 1 if is_marked else surge
-    return " ".join(found[i][0] for begin, end in _stretches(weight, window) if weight[begin:end].sum() >= least for i in range(begin, end) if weight[i])
 
 
-def _stretches(weight: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
-    """(begin, end) of the lines between dives, that is windows without weight."""
+def _stretches(weight: np.ndarray, marked: np.ndarray, window: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the lines between dives, that is windows without weight, or ends of a marked article."""
     held = np.flatnonzero(weight)
     if len(held):
-        cuts = np.flatnonzero(np.diff(held) > window)
+        cuts = np.flatnonzero((np.diff(held) > window) | np.diff(marked[held]))
         yield from zip(held[np.append(0, cuts + 1)].tolist(), (held[np.append(cuts, len(held) - 1)] + 1).tolist(), strict=True)
 
 

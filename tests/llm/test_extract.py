@@ -32,6 +32,14 @@ def test_short_blocks_and_text_after_adverts_are_kept():
     assert main_text("<p>too short</p>") == ""
 
 
+def test_a_body_outside_an_article_card_is_kept():
+    card = "<article class='card'><a href='/x'>Another story</a></article>"
+    assert main_text(f"<div><p>{LONG}</p><p>Short.</p></div>{card}") == f"{LONG.strip()} Short. Another story"
+    assert main_text(f"{card}<div>{LONG}</div>") == f"Another story {LONG.strip()}"
+    # The bonus: little text is enough in an article and not outside of it.
+    assert main_text("<p>Outside.</p><main><p>In it.</p></main><p>Outside.</p>") == "In it."
+
+
 def test_page_wrappers_are_no_furniture():
     for page in (
         f"<body class='single no-sidebar'><p>{LONG}</p></body>",
