@@ -6,7 +6,7 @@ votes in either class, independent given the class) is fitted by
 expectation-maximisation on the counts of vote patterns over all documents;
 there are at most 3**8 patterns, so only that histogram reaches the driver.
 The posterior of a document's pattern is its soft label, and soft labels of a
-bounded sample train a logistic regression on hashed word and word-shape
+bounded sample of distinct texts, each of them once however many rows repeat it, train a logistic regression on hashed word and word-shape
 features.  The scorer then judges every whole text.
 
 Defined results: a text without a word (null, empty, blank) has score 1, that
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from foliant.llm.common import table, text_or_empty, with_text_batches
 
 ABSTAIN, LOW, HIGH = 0, 1, 2
-#: Documents with soft labels that the scorer is trained on, at most.
+#: Distinct texts with soft labels that the scorer is trained on, at most.
 TRAINING_ROWS = 8_000
 DIMENSIONS = 1 << 14
 THRESHOLD = 0.5
@@ -226,8 +226,15 @@ def self_score(text: str, weights: np.ndarray, places: dict[str, tuple[int, int]
     return float(1 / (1 + np.exp(-np.clip(weights[index] @ value, -30, 30))))
 
 
+def _sample(text: DataFrame, most: int) -> DataFrame:
+    """The distinct texts with the smallest hashes, ``most`` at most: the same ones for any order and partitions of the rows."""
+    hashes = text.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(most)
+    last = hashes.agg(F.max("h").alias("h")).first()["h"]
+    return text.where(F.xxhash64("text") <= F.lit(last)).distinct()
+
+
 def fit_quality(documents: DataFrame, text_col: str = "text", training_rows: int = TRAINING_ROWS) -> QualityModel:
-    """Label model from the votes on all documents, scorer from a sample of at most ``training_rows``."""
+    """Label model from the votes on all documents, scorer from a sample of at most ``training_rows`` distinct texts."""
 
     @F.pandas_udf("string")
     def voted(texts: pd.Series) -> pd.Series:
@@ -237,7 +244,6 @@ def fit_quality(documents: DataFrame, text_col: str = "text", training_rows: int
     patterns = text.select(voted("text").alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).collect()
     histogram = {r["votes"]: int(r["n"]) for r in sorted(patterns, key=lambda r: r["votes"])}
     labels = fit_label_model(histogram)
-    every = max(1, -(-sum(histogram.values()) // training_rows))
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places: dict[str, tuple[int, int]] = {}
@@ -251,7 +257,7 @@ def fit_quality(documents: DataFrame, text_col: str = "text", training_rows: int
                 }
             )
 
-    sample = text.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(training_rows)
+    sample = _sample(text, training_rows)
     rows = sample.mapInPandas(sampled, "i binary, v binary, p double").collect()
     data = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["v"], np.float32), r["p"]) for r in rows]
     data.sort(key=lambda r: (r[0].tobytes(), r[1].tobytes()))

@@ -245,9 +245,9 @@ def seed_labels() -> Column:
 
 
 def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most: int = LABELLED_ROWS) -> UrlModel:
-    """Suffix statistics and boosted trees from at most ``most`` labelled URLs (label 1: unwanted)."""
+    """Suffix statistics and boosted trees from at most ``most`` distinct labelled URLs (label 1: unwanted)."""
     own = labelled.select(F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.col(label_col).cast("int").alias("label")).where("label is not null")
-    drawn = own.orderBy(F.xxhash64("url"), "url", "label").limit(most)
+    drawn = own.distinct().orderBy(F.xxhash64("url"), "url", "label").limit(most)
     whole = lexical_features(parsed(drawn, "url", "label")).withColumn("label", F.col("kept.label")).drop("kept")
     sample = written(whole.withColumn("half", F.pmod(F.xxhash64("url"), F.lit(2))), "url-sample")
     known = sample.where("half = 0")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.llm.quality import THRESHOLD, fit_label_model, fit_quality, op5_quality_classifier, votes
+from foliant.llm.quality import THRESHOLD, _sample, fit_label_model, fit_quality, op5_quality_classifier, votes
 from tests.llm.helpers import TROUBLED, documents, prose
 
 
@@ -49,6 +49,17 @@ def test_troubled_rows(spark):
     assert all(by_id[100 + i] < THRESHOLD for i in range(60)) and all(by_id[500 + i] >= THRESHOLD for i in range(15))
 
 
+def test_the_sample_is_of_distinct_texts(spark):
+    # Where the repeated text hashes low it is drawn, but once; the rest is drawn whatever the partitions.
+    texts = [(prose(i, 20),) for i in range(100)]
+    frame = spark.createDataFrame(texts, "text string").withColumn("h", F.xxhash64("text"))
+    hashed = [r["text"] for r in frame.orderBy("h").collect()]
+    rows = texts + [(hashed[0],)] * 500
+    for n in (1, 7):
+        drawn = [r["text"] for r in _sample(spark.createDataFrame(rows, "text string").repartition(n), 30).collect()]
+        assert sorted(drawn) == sorted(hashed[:30])
+
+
 def test_no_texts(spark):
     model = fit_quality(documents(spark, []))
     assert documents(spark, []).select(model.score(F.col("text"))).isEmpty()

@@ -70,6 +70,16 @@ def test_without_labels_all_is_allowed(spark):
     assert filter_urls(frame(spark, ["x"]).limit(0), "url", RULES, model, "page_id").isEmpty()
 
 
+def test_repeated_urls_do_not_crowd_out_the_others(spark):
+    columns = "url string, label int"
+    plain = [(f"http://host{i}.example.{'com' if i % 2 else 'net'}/p/{i}", i % 2) for i in range(60)]
+    first = spark.createDataFrame(plain, columns).orderBy(F.xxhash64("url")).first()
+    hot = plain + [(first["url"], first["label"])] * 500
+    one, other = (fit_urls(spark.createDataFrame(rows, columns), most=40) for rows in (plain, hot))
+    assert one.base == other.base
+    assert sorted(map(tuple, one.statistics.collect())) == sorted(map(tuple, other.statistics.collect()))
+
+
 def test_no_python_in_the_plan(spark, small):
     frame = op1_url_filters(spark, small)
     plan = frame._jdf.queryExecution().executedPlan().toString()
