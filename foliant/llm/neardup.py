@@ -2,32 +2,41 @@
 
 Texts are sets of five-word shingles.  Texts with the same set are one class
 and stand for each other.  Every class has a MinHash signature that is cut into
-the label sequences of ``TREES`` prefix tries; in a sorted trie the classes
-under one prefix lie together, which here is one group of equal keys.  Matched
-prefixes are shortened from the full depth until the expected recall at the
-threshold, 1 - (1 - t**depth)**trees, reaches the target.
-
-Inside a trie node no pairs are expanded.  Its smallest class is the pivot, and
-every member is compared with the pivot only, exactly, on the whole sets:
-
-1. each member with the smallest of its pivots;
-2. members with their other pivots, where the two are not connected yet;
-3. the classes of parts that met in a node but are not connected, with each
-   other, in tiles of sets multiplied as matrices: a tile gives at most one link
-   for two parts, so texts just below the threshold never become rows of pairs.
-
-So no link between parts that are not connected otherwise is lost.  Links are
-then counted within each connected part around its centre, the set of shingles
-that at least half of its classes hold, using that Jaccard distance is a metric:
-classes within half the distance bound of the centre are all linked to each
-other.  The links of classes further out, and of parts where no shingle is that
-common, are counted in tiles of sets by matrix products, which give a count per
-class and no row per pair.
+the label sequences of ``TREES`` prefix tries.  A trie is its label sequences in
+sorted order, dealt out by ranges so that no prefix is too hot for a task: the
+classes under a node lie together, and one pass over a range names, for every
+class and every depth, the first class of its node (its pivot).  Nodes that
+cross the end of a range are sewn together from the ranges' first and last rows.
+
+Matched prefixes are shortened step by step, from the full depth.  At a depth
+the members of a node are compared with its pivot, exactly, on the whole sets.
+Then the recall of each class is estimated: a link of similarity s is found at
+this depth with chance p(s) = 1 - (1 - s**depth)**trees, so k found links stand
+for the sum of their 1 / p, and one unseen partner at the threshold t counts
+beside them, found with p(t).  A class whose share (k + p(t)) / (sum + 1)
+reaches the target is done; only nodes that hold a class below it are looked up
+with a label less.  At the depth where p(t) alone reaches the target all are done.
+
+Nodes whose members are still not all connected are searched for links in tiles:
+the members outside the node's largest part against all of its members, as
+matrix products.  A tile gives at most one link for two parts, so texts just
+below the threshold never become rows of pairs, and no two texts are compared
+that never met under a prefix.
+
+Links are then counted within each connected part around its centre, the set of
+shingles that at least half of its classes hold (empty where there are none),
+using that Jaccard distance is a metric: classes within half the distance bound
+of the centre are all linked to each other.  The links of classes further out
+are counted in tiles by matrix products, which give a count per class and no row
+per pair; tiles hold the sets' differences from the centre, from which the
+shared shingles follow exactly.
 
 Defined results: words are runs of letters, digits and underscores, lower-cased;
 a text of one to four words is one shingle; texts without words are one class
-without links; rows that repeat an id get a row each; a class without any id
-has no links beyond its copies; an empty table gives no rows.
+without links; whole texts count, however long; rows that repeat an id get a row
+each; a class without any id has no links beyond its copies; an empty table
+gives no rows.  Only the id and text columns are read, so other columns may have
+any name; the ids need an order, which decides between equal texts.
 """
 
 from __future__ import annotations
@@ -38,7 +47,9 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,9 +61,10 @@ TREES = 32
 DEPTH = 8
 TARGET_RECALL = 0.999
 _LABEL_BYTES = 2
+_CLASS_BYTES = 16
 _CHUNK = 2048
-#: Sets on either side of a tile in which links are counted, about, and shingles multiplied at a time.
-TILE_ROWS = 512
+#: Sets on either side of a tile, about, and shingles multiplied at a time.
+TILE_ROWS = 128
 TILE_SHINGLES = 8192
 
 _WORD = re.compile(r"\w+")
@@ -168,6 +180,112 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Fraction, others: DataFr
     return joined.select("a", "b", "left", "right").mapInPandas(compare, "a binary, b binary, distance double, linked boolean")
 
 
+def _tries(classes: DataFrame, trees: int, deepest: int, floor: int) -> DataFrame:
+    """The forest's matched prefixes: rows (tree, matched, class, pivots) and, where ``edge``, what ends the ranges.
+
+    ``matched`` is the depth of the deepest node that the class shares with one
+    before it in its range; ``pivots`` holds the first classes of its nodes from
+    that depth up to ``floor``.
+    """
+    width = deepest * _LABEL_BYTES
+    placed = classes.select("class", "sig", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select(
+        "tree", F.expr(f"substring(sig, tree * {width} + 1, {width})").alias("labels"), "class"
+    )
+    # The class is part of the order, so a label sequence that many share is dealt to many tasks.
+    ordered = placed.repartitionByRange("tree", "labels", "class").sortWithinPartitions("tree", "labels", "class")
+    depths = range(deepest, floor - 1, -1)
+    names = ["tree", "matched", "class", "pivots", "labels", "edge", "place"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = last = None  # (tree, labels, class) of the first row; the last row with its pivots by depth
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree = np.asarray(batch.column(0))
+            labels = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(len(tree), deepest)
+            own = np.array(batch.column(2).to_pylist(), dtype=object)
+            if last is None:
+                begin = (int(tree[0]), labels[0].tobytes(), own[0])
+                before = np.array([-1]), labels[:1], [None] * len(depths)
+            else:
+                before = np.array([last[0]]), np.frombuffer(last[1], dtype="<u2")[None, :], last[3]
+            same = np.vstack([before[1], labels[:-1]]) == labels
+            shared = np.cumprod(same, axis=1).sum(axis=1)
+            shared[np.append(before[0], tree[:-1]) != tree] = -1
+            at = np.arange(len(tree))
+            pivots = []
+            for depth, carried in zip(depths, before[2], strict=True):
+                since = np.maximum.accumulate(np.where(shared < depth, at, -1))
+                pivots.append(np.where(since < 0, carried, own[since]))
+            met = np.flatnonzero(shared >= floor)
+            if len(met):
+                deep = np.minimum(shared[met], deepest)
+                chains = [b"".join(pivots[deepest - d][i] for d in range(m, floor - 1, -1)) for i, m in zip(met.tolist(), deep.tolist(), strict=True)]
+                rows = [tree[met], deep, own[met], chains, [None] * len(met), [False] * len(met), [0] * len(met)]
+                yield pa.record_batch([pa.array(x, type=t) for x, t in zip(rows, kinds, strict=True)], names=names)
+            last = (int(tree[-1]), labels[-1].tobytes(), own[-1], [p[-1] for p in pivots])
+        if last is not None:
+            place = TaskContext.get().partitionId()
+            rows = [[begin[0], last[0]], [0, 1], [begin[2], last[2]], [None, b"".join(last[3])], [begin[1], last[1]], [True, True], [place, place]]
+            yield pa.record_batch([pa.array(x, type=t) for x, t in zip(rows, kinds, strict=True)], names=names)
+
+    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.bool_(), pa.int32()]
+    return ordered.mapInArrow(walk, "tree int, matched int, class binary, pivots binary, labels binary, edge boolean, place int")
+
+
+def _sewn(edges: list, deepest: int, floor: int) -> tuple[list[tuple], list[tuple]]:
+    """What the ranges' ends say of nodes that cross them.
+
+    Rows (tree, matched, class, pivots) of the first classes of ranges, and
+    (tree, depth, pivot, root): nodes that began in a range before, under root.
+    """
+    ends: dict[int, dict[int, tuple]] = {}
+    for r in edges:
+        ends.setdefault(r["place"], {})[r["matched"]] = r
+    rows, roots = [], []
+    tree, labels, open_roots = None, b"", {}
+    for place in sorted(ends):
+        first, final = ends[place][0], ends[place][1]
+        shared = -1
+        if first["tree"] == tree:
+            mine, other = (np.frombuffer(bytes(x), dtype="<u2") for x in (first["labels"], labels))
+            shared = int(np.cumprod(mine == other).sum())
+        own = bytes(first["class"])
+        going_on = {d: open_roots[d] for d in range(floor, min(shared, deepest) + 1)}
+        if going_on:
+            rows.append((tree, max(going_on), own, b"".join(going_on[d] for d in sorted(going_on, reverse=True))))
+            roots += [(tree, d, own, root) for d, root in going_on.items()]
+        chain = bytes(final["pivots"])
+        tree, labels = final["tree"], bytes(final["labels"])
+        for i, d in enumerate(range(deepest, floor - 1, -1)):
+            pivot = chain[i * _CLASS_BYTES : (i + 1) * _CLASS_BYTES]
+            open_roots[d] = going_on.get(d, pivot) if pivot == own and first["tree"] == tree else pivot
+    return rows, roots
+
+
+class _Forest:
+    """The nodes of the tries that hold more than one class, by depth."""
+
+    def __init__(self, classes: DataFrame, trees: int, deepest: int, floor: int):
+        spark = classes.sparkSession
+        found = written(_tries(classes, trees, deepest, floor), "nd-tries")
+        # Two rows for each task of the pass: the driver sees no more than that.
+        edges = found.where("edge").select("tree", "matched", "class", "pivots", "labels", "place").collect()
+        rows, roots = _sewn(edges, deepest, floor)
+        kept = "tree int, matched int, class binary, pivots binary"
+        self.rows = found.where("not edge").select("tree", "matched", "class", "pivots").union(spark.createDataFrame(rows, kept))
+        self.roots = spark.createDataFrame(roots, "tree int, depth int, pivot binary, root binary")
+        self.floor = floor
+
+    def at(self, depth: int) -> DataFrame:
+        """(node, tree, class, pivot): the members of the nodes of a depth beside their pivots."""
+        pivot = F.expr(f"substring(pivots, (matched - {depth}) * {_CLASS_BYTES} + 1, {_CLASS_BYTES})")
+        whole = self.rows.where(F.col("matched") >= depth).select("tree", "class", pivot.alias("pivot"))
+        roots = F.broadcast(self.roots.where(F.col("depth") == depth).select("tree", "pivot", "root"))  # a row for each task at most
+        sewn = whole.join(roots, ["tree", "pivot"], "left").select("tree", "class", F.coalesce("root", "pivot").alias("pivot"))
+        return sewn.select(F.xxhash64(F.lit(depth), "tree", "pivot").alias("node"), "tree", "class", "pivot")
+
+
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(class, part): the smallest class of each node's connected part, by label passing and pointer jumping."""
     both = written(links.select("a", "b").union(links.select("b", "a")), "nd-links")
@@ -189,6 +307,39 @@ def _jumped(labels: DataFrame) -> DataFrame:
     return labels.join(further, "part", "left").select("class", F.least("part", F.coalesce("further", "part")).alias("part"))
 
 
+def _merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """``parts`` with those joined that links (a, b) connect."""
+    ends = written(_with_parts(links, parts).groupBy(F.col("part_a").alias("a"), F.col("part_b").alias("b")).agg(F.lit(1).alias("x")).select("a", "b"), "nd-joins")
+    if ends.isEmpty():
+        return parts
+    names = ends.select(F.col("a").alias("class")).union(ends.select("b")).distinct()
+    wider = connected(names, ends).select(F.col("class").alias("part"), F.col("part").alias("wider"))
+    return written(parts.join(wider, "part", "left").select("class", F.coalesce("wider", "part").alias("part")), "nd-parts")
+
+
+def _with_parts(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are not connected yet, with part_a and part_b."""
+    return (
+        pairs.join(parts.select(F.col("class").alias("a"), F.col("part").alias("part_a")), "a")
+        .join(parts.select(F.col("class").alias("b"), F.col("part").alias("part_b")), "b")
+        .where(F.col("part_a") != F.col("part_b"))
+    )
+
+
+def chance(similarity: float | Column, depth: int, trees: int) -> float | Column:
+    """How likely two sets of this similarity meet under a prefix of this depth."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def _unmet(classes: DataFrame, facts: DataFrame, threshold: float, depth: int, trees: int, target: float) -> DataFrame:
+    """(class): those whose estimated recall at this depth is below the target."""
+    linked = facts.where("linked").select("a", "b", (1 - F.col("distance")).alias("s"))
+    ends = linked.select(F.col("a").alias("class"), "s").union(linked.select("b", "s"))
+    found = ends.groupBy("class").agg(F.count("*").alias("k"), F.sum(1 / chance(F.col("s"), depth, trees)).alias("total"))
+    k, total = F.coalesce("k", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    return classes.join(found, "class", "left").where((k + F.lit(chance(threshold, depth, trees))) / (total + 1) < target).select("class")
+
+
 def near_duplicates(
     documents: DataFrame,
     id_col: str = "doc_id",
@@ -206,7 +357,7 @@ def near_duplicates(
     with that set and ``n_links`` the number of other sets at the threshold.
     """
     limit = Fraction(str(threshold)).limit_denominator(1000)
-    depth = depth_for(threshold, trees, deepest, target)
+    floor = depth_for(threshold, trees, deepest, target)
     rows = written(_signed(documents, id_col, text_col, trees, deepest), "nd-rows")
     classes = written(
         rows.groupBy("class").agg(
@@ -215,65 +366,69 @@ def near_duplicates(
         "nd-classes",
     )
     linkable = classes.where((F.col("size") > 0) & F.col("id").isNotNull())
-    # A trie node under a prefix, by its 64-bit hash (all that meets there is verified).
-    prefix = F.expr(f"xxhash64(tree, substring(sig, tree * {deepest * _LABEL_BYTES} + 1, {depth * _LABEL_BYTES}))")
-    placed = linkable.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(prefix.alias("node"), "class")
-    shared = placed.groupBy("node").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("node", "pivot")
-    members = written(placed.join(written(shared, "nd-pivots"), "node"), "nd-members")
-
-    compared = members.where(F.col("class") != F.col("pivot")).groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.lit(1).alias("x"))
-    compared = written(compared.select("a", "b"), "nd-pairs")
-    involved = written(members.select("class").distinct(), "nd-involved")
+    forest = _Forest(linkable.select("class", "sig"), trees, deepest, floor)
+    at_floor = forest.at(floor)
+    involved = written(at_floor.select("class").union(at_floor.select("pivot")).distinct(), "nd-involved")
     sets = written(_sets(documents, id_col, text_col, linkable.join(involved, "class", "left_semi")), "nd-sets")
 
+    # At the full depth: each member with the smallest of its pivots, then with the others it is not connected to.
+    nodes = forest.at(deepest)
+    final = nodes.select("node", "tree", "class", "pivot")
+    compared = written(_pairs(nodes), "nd-pairs")
     first = written(compared.groupBy("a").agg(F.min("b").alias("b")), "nd-first")
     facts = written(_verified(first, sets, limit), "nd-facts")
     stars = involved.join(facts.where("linked").select(F.col("a").alias("class"), F.col("b").alias("part")), "class", "left")
     stars = written(_jumped(written(stars.select("class", F.coalesce("part", "class").alias("part")), "nd-stars")), "nd-stars")
-    rest = written(_apart(compared.join(first, ["a", "b"], "left_anti"), stars), "nd-rest")
+    rest = written(_with_parts(compared.join(first, ["a", "b"], "left_anti"), stars).select("a", "b"), "nd-rest")
     facts = facts.union(written(_verified(rest, sets, limit), "nd-facts"))
     parts = written(connected(involved, facts.where("linked")), "nd-parts")
 
-    bridges = _bridges(members, parts, sets, limit)
-    if not bridges.isEmpty():
-        parts = written(connected(involved, facts.where("linked").select("a", "b").union(bridges)), "nd-parts")
+    for depth in range(deepest - 1, floor - 1, -1):
+        unmet = written(_unmet(involved, facts, threshold, depth + 1, trees, target), "nd-unmet")
+        nodes = forest.at(depth)
+        asking = nodes.join(unmet, "class", "left_semi").select("node").union(nodes.join(unmet.withColumnRenamed("class", "pivot"), "pivot", "left_semi").select("node"))
+        nodes = written(nodes.join(asking.distinct(), "node", "left_semi"), "nd-nodes")
+        final = final.join(nodes.select("tree", "class"), ["tree", "class"], "left_anti").unionByName(nodes)
+        apart = written(_with_parts(_pairs(nodes), parts).select("a", "b"), "nd-rest")
+        met = written(_verified(apart, sets, limit), "nd-facts")
+        facts = facts.union(met)
+        parts = _merged(parts, met.where("linked"))
+    parts = _merged(parts, _bridges(final, parts, sets, limit))
 
     groups = classes.select("class", "id", "copies").join(parts, "class", "left").withColumn("part", F.coalesce("part", "class"))
     names = groups.groupBy("part").agg(F.min("id").alias("class_id"))
     named = groups.join(written(names, "nd-names"), "part").select("class", "class_id", F.col("id").alias("copy_id"), (F.col("copies") - 1).alias("n_copies"))
     if count_links:
-        named = named.join(_link_counts(parts, sets, classes, limit), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        named = named.join(_link_counts(parts, sets, limit), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     named = written(named, "nd-named")
     return rows.select("class", F.col("id").alias(id_col)).join(named, "class").drop("class")
 
 
-def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    return (
-        pairs.join(parts.select(F.col("class").alias("a"), F.col("part").alias("part_a")), "a")
-        .join(parts.select(F.col("class").alias("b"), F.col("part").alias("part_b")), "b")
-        .where(F.col("part_a") != F.col("part_b"))
-        .select("a", "b")
-    )
+def _pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each member once with each of its pivots."""
+    return nodes.groupBy(F.col("class").alias("a"), F.col("pivot").alias("b")).agg(F.lit(1).alias("x")).select("a", "b")
 
 
-def _bridges(members: DataFrame, parts: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
-    """Links (a, b) between parts that met in a trie node without being connected by its pivot.
+def _bridges(nodes: DataFrame, parts: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """Links (a, b) between parts that share a node without being connected by its pivot.
 
-    Parts that met form clusters; a cluster's classes are compared tile by
-    tile, and a tile gives one link for two parts at most, so groups of texts
-    just below the threshold do not become rows of pairs.
+    Of each such node the members outside its largest part are compared with all
+    members, tile by tile.  Nodes of different tries with the same members are
+    searched once.
     """
-    met = members.join(parts, "class").join(parts.select(F.col("class").alias("pivot"), F.col("part").alias("other")), "pivot")
-    met = written(met.where("part != other").groupBy(F.col("part").alias("a"), F.col("other").alias("b")).agg(F.lit(1).alias("x")).select("a", "b"), "nd-met")
-    ends = met.select(F.col("a").alias("class")).union(met.select("b")).distinct()
-    clusters = written(connected(ends, met).select(F.col("class").alias("part"), F.col("part").alias("cluster")), "nd-clusters")
-    inside = written(parts.join(clusters, "part"), "nd-inside")
-    sizes = written(inside.groupBy("cluster").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks")), "nd-cluster-sizes")
-    own = inside.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
-    left = own.select("cluster", F.col("block").alias("row"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("column"), "class", "part", F.lit(True).alias("is_row"))
-    right = own.select("cluster", F.explode(F.sequence(F.lit(0), F.col("block"))).alias("row"), F.col("block").alias("column"), "class", "part", F.lit(False).alias("is_row"))
-    placed = written(left.union(right), "nd-cluster-tiles").join(sets, "class")
+    members = nodes.select("node", "class").union(nodes.select("node", F.col("pivot").alias("class")).distinct()).join(parts, "class")
+    each = members.groupBy("node", "part").agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(1))).alias("y")
+    )
+    split = each.groupBy("node").agg(
+        F.sum("k").alias("n"), F.count("*").alias("parts"), F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("most"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+    )
+    once = split.where("parts > 1").groupBy("n", "x", "y").agg(F.min(F.struct("node", "main", "most")).alias("of"))
+    block = lambda n: F.ceil(n / TILE_ROWS).cast("int")
+    open_nodes = once.select("of.node", "of.main", block(F.col("n") - F.col("of.most")).alias("rows"), block(F.col("n")).alias("columns"))
+    whole = members.join(written(open_nodes, "nd-open"), "node").withColumn("is_row", F.col("part") != F.col("main"))
+    placed = written(_tiles(whole, "node", "part"), "nd-open-tiles").join(sets, "class")
 
     def find(tile: pd.DataFrame) -> pd.DataFrame:
         rows, columns = tile[tile["is_row"]], tile[~tile["is_row"]]
@@ -283,11 +438,26 @@ def _bridges(members: DataFrame, parts: DataFrame, sets: DataFrame, limit: Fract
         out = pd.DataFrame({"a": rows["class"].to_numpy()[at], "b": columns["class"].to_numpy()[to], "x": rows["part"].to_numpy()[at], "y": columns["part"].to_numpy()[to]})
         return out.drop_duplicates(["x", "y"])[["a", "b"]]
 
-    return written(placed.groupBy("cluster", "row", "column").applyInPandas(find, "a binary, b binary"), "nd-bridges")
+    return written(placed.groupBy("node", "row", "column").applyInPandas(find, "a binary, b binary"), "nd-bridges")
+
+
+def _tiles(whole: DataFrame, group: str, *keep: str) -> DataFrame:
+    """Tiles (group, row, column) of those with ``is_row`` against all, with class, is_row and ``keep``.
+
+    ``rows`` and ``columns`` tell into how many blocks either side of a group is dealt.
+    """
+    at = whole.withColumn("at", F.xxhash64("class"))
+    left = at.where("is_row").select(
+        group, F.pmod("at", "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "class", F.lit(True).alias("is_row"), *keep
+    )
+    right = at.select(
+        group, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("at", "columns").cast("int").alias("column"), "class", F.lit(False).alias("is_row"), *keep
+    )
+    return left.union(right)
 
 
 def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(part, shingles): of each part the set of shingles that at least half of its classes hold."""
+    """(part, centre): of each part the set of shingles that at least half of its classes hold."""
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -299,61 +469,72 @@ def _centres(members: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             # Sorted as unsigned numbers, as the sets are.
             own = [np.sort(np.asarray(x, dtype=np.int64).view(np.uint64)).tobytes() for x in batch["shingles"]]
-            yield pd.DataFrame({"part": batch["part"], "shingles": own})
+            yield pd.DataFrame({"part": batch["part"], "centre": own})
 
     rows = sets.join(members.select("class", "part"), "class").select("part", "shingles").mapInPandas(spread, "part binary, shingle long")
     counts = rows.groupBy("part", "shingle").agg(F.count("*").alias("k"))
     sizes = written(members.groupBy("part").agg(F.count("*").alias("n")), "nd-sizes")
     common = written(counts, "nd-shingles").join(sizes, "part").where(F.col("k") * 2 >= F.col("n"))
-    return common.groupBy("part").agg(F.collect_list("shingle").alias("shingles")).mapInPandas(gather, "part binary, shingles binary")
+    return common.groupBy("part").agg(F.collect_list("shingle").alias("shingles")).mapInPandas(gather, "part binary, centre binary")
 
 
-def _link_counts(parts: DataFrame, sets: DataFrame, classes: DataFrame, limit: Fraction) -> DataFrame:
-    """(class, n_links): links within each connected part, decided by distances to its centre where they can be.
+def _around_centres(members: DataFrame, sets: DataFrame, centres: DataFrame, limit: Fraction) -> DataFrame:
+    """Members (class, part) with their difference from the part's centre, and whether they belong to its core.
 
-    The centre of a part is the set of the shingles that at least half of its
-    classes hold; copies of one text with edits of their own lie close to it.
+    ``shingles`` holds the shingles that only one of the set and the centre has,
+    ``lost`` those of the centre among them; ``base`` is the centre's size.
     """
-    bound = float(1 - limit)
+    above, below = limit.numerator, limit.denominator
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for whole, centre in zip(batch["shingles"], batch["centre"], strict=True):
+                x, y = np.frombuffer(whole, np.uint64), np.frombuffer(centre, np.uint64)
+                only = np.setxor1d(x, y, assume_unique=True)
+                either = (len(x) + len(y) + len(only)) // 2
+                lost = (len(only) + len(y) - len(x)) // 2
+                rows.append((len(x), len(y), lost, bool(len(y)) and 2 * len(only) * below <= either * (below - above), only.tobytes()))
+            out = pd.DataFrame(rows, columns=["size", "base", "lost", "core", "shingles"])
+            out.insert(0, "class", batch["class"].to_numpy())
+            out.insert(1, "part", batch["part"].to_numpy())
+            yield out
+
+    joined = members.join(centres, "part", "left").join(sets, "class").select("class", "part", "shingles", F.coalesce("centre", F.lit(b"")).alias("centre"))
+    return joined.mapInPandas(measure, "class binary, part binary, size int, base int, lost int, core boolean, shingles binary")
+
+
+def _link_counts(parts: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+    """(class, n_links): links within each connected part, decided by distances to its centre where they can be."""
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     sized = written(parts.join(written(sizes.where("n > 1"), "nd-part-sizes"), "part"), "nd-sized")
     pairs = sized.where("n = 2").select("class", F.lit(1).cast("long").alias("n_links"))
     larger = written(sized.where("n > 2").select("class", "part"), "nd-larger")
-    centres = written(_centres(larger, sets), "nd-centres")
-    measured = _verified(larger.select(F.col("class").alias("a"), F.col("part").alias("b")), sets, limit, centres.withColumnRenamed("part", "class"))
-    # A part of drifting texts may have no shingle in half of its classes; without a centre all are fringe.
-    near = larger.join(measured.select(F.col("a").alias("class"), "distance"), "class", "left").join(classes.select("class", "size"), "class")
-    near = written(near.withColumn("core", F.coalesce(F.col("distance") <= bound / 2, F.lit(False))), "nd-spokes")
+    # A part of drifting texts may have no shingle in half of its classes: its centre is empty and no class is of the core.
+    near = written(_around_centres(larger, sets, written(_centres(larger, sets), "nd-centres"), limit), "nd-spokes")
     # Members of the core are at most the bound apart.
     cores = written(near.where("core").groupBy("part").agg(F.count("*").alias("n")), "nd-cores")
     in_core = near.where("core").join(cores, "part").select("class", (F.col("n") - 1).alias("n_links"))
-    at_fringe = _fringe_links(near, sets, limit)
+    at_fringe = _fringe_links(near, limit)
     return written(pairs.union(in_core).union(at_fringe).groupBy("class").agg(F.sum("n_links").cast("long").alias("n_links")), "nd-counts")
 
 
-def _fringe_links(near: DataFrame, sets: DataFrame, limit: Fraction) -> DataFrame:
+def _fringe_links(near: DataFrame, limit: Fraction) -> DataFrame:
     """(class, n_links): links with an end outside the core, counted tile by tile; no pair becomes a row.
 
-    Of a part's classes those of the fringe are dealt into blocks and all of
-    them into blocks; a tile is one block of either.  A class of the core gets
-    its count from the tiles' columns, one of the fringe from their rows, so a
-    pair of two fringe classes counts once for each.
+    Rows of the tiles are the fringe of a part, columns all of it.  A class of
+    the core gets its count from the tiles' columns, one of the fringe from
+    their rows, so a pair of two fringe classes counts once for each.
     """
     counts = near.groupBy("part").agg(F.count("*").alias("n"), F.sum((~F.col("core")).cast("int")).alias("outside")).where("outside > 0")
     block = lambda n: F.ceil(F.col(n) / TILE_ROWS).cast("int")
     sized = written(counts.select("part", block("outside").alias("rows"), block("n").alias("columns")), "nd-tiles")
-    whole = near.join(sized, "part").withColumn("at", F.xxhash64("class"))
-    left = whole.where(~F.col("core")).select(
-        "part", F.pmod("at", "rows").cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "class", F.lit(True).alias("is_row"), "core"
-    )
-    right = whole.select(
-        "part", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod("at", "columns").cast("int").alias("column"), "class", F.lit(False).alias("is_row"), "core"
-    )
-    placed = written(left.union(right), "nd-placed").join(sets, "class")
+    whole = near.join(sized, "part").withColumn("is_row", ~F.col("core"))
+    placed = written(_tiles(whole, "part", "core"), "nd-placed").join(near.select("class", "size", "base", "lost", "shingles"), "class")
 
     def count(tile: pd.DataFrame) -> pd.DataFrame:
         rows, columns = tile[tile["is_row"]], tile[~tile["is_row"]]
-        linked = _linked(rows["shingles"], columns["shingles"], limit)
+        linked = _linked_around(rows, columns, limit)
         linked &= rows["class"].to_numpy()[:, None] != columns["class"].to_numpy()[None, :]
         inner = columns["core"].to_numpy(bool)
         return pd.DataFrame(
@@ -367,16 +548,37 @@ def _fringe_links(near: DataFrame, sets: DataFrame, limit: Fraction) -> DataFram
 
 
 def _linked(rows: pd.Series, columns: pd.Series, limit: Fraction) -> np.ndarray:
-    """Which of the sets are linked: shared shingles by matrix products over slices of those on both sides."""
+    """Which of the sets are linked."""
     left, right = ([np.frombuffer(x, np.uint64) for x in side] for side in (rows, columns))
+    return _at_limit(_shared(left, right), [len(x) for x in left], [len(x) for x in right], limit)
+
+
+def _linked_around(rows: pd.DataFrame, columns: pd.DataFrame, limit: Fraction) -> np.ndarray:
+    """Which of the sets are linked, from their differences from one centre.
+
+    What two sets share is the centre without what either lost, and what both
+    gained: base - lost - lost' + what the differences share.
+    """
+    left, right = ([np.frombuffer(x, np.uint64) for x in side["shingles"]] for side in (rows, columns))
+    lost = np.add.outer(rows["lost"].to_numpy(np.int64), columns["lost"].to_numpy(np.int64))
+    base = rows["base"].to_numpy(np.int64)[:, None]
+    return _at_limit(base - lost + _shared(left, right), rows["size"], columns["size"], limit)
+
+
+def _at_limit(shared: np.ndarray, left: list[int], right: list[int], limit: Fraction) -> np.ndarray:
+    either = np.add.outer(np.asarray(left, dtype=np.int64), np.asarray(right, dtype=np.int64)) - shared
+    return shared * limit.denominator >= either * limit.numerator
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each two of the sets share, by matrix products over slices of those on both sides."""
     shared = np.zeros((len(left), len(right)), dtype=np.int64)
     common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True) if left and right else np.zeros(0, np.uint64)
     for at in range(0, len(common), TILE_SHINGLES):
         part = common[at : at + TILE_SHINGLES]
         a, b = (_incidence(side, part) for side in (left, right))
         shared += (a @ b.T).astype(np.int64)
-    sizes = np.add.outer(np.array([len(x) for x in left]), np.array([len(x) for x in right])) - shared
-    return shared * limit.denominator >= sizes * limit.numerator
+    return shared
 
 
 def _incidence(sets: list[np.ndarray], shingles: np.ndarray) -> np.ndarray:

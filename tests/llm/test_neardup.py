@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from foliant.llm.neardup import depth_for, near_duplicates
+from foliant.llm.neardup import _unmet, depth_for, near_duplicates
 from tests.llm.helpers import TROUBLED, documents, prose
 
 
@@ -72,15 +72,50 @@ def test_equals_brute_force(spark, rows, partitions):
     assert own == brute(rows)
 
 
-def test_a_chain_without_a_centre_equals_brute_force(spark):
-    words = prose(4242, 1000).split()
-    chain = [(i, " ".join(words[16 * i : 16 * i + 200])) for i in range(30)]  # neighbours share 180 of 212 shingles
+@pytest.mark.parametrize("size", [3, 30, 60])
+def test_a_chain_without_a_centre_equals_brute_force(spark, size):
+    words = prose(4242, 1300).split()
+    chain = [(i, " ".join(words[16 * i : 16 * i + 200])) for i in range(size)]  # neighbours share 180 of 212 shingles
     wanted = brute(chain)
     assert {r[1] for r in wanted} == {0} and {r[4] for r in wanted} == {1, 2}
     found = near_duplicates(documents(spark, chain))
     assert sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in found.collect()) == wanted
 
 
+def test_overlapping_windows_equal_brute_force(spark):
+    words = prose(77, 1000).split()
+    chain = [(i, " ".join(words[5 * i : 5 * i + 200])) for i in range(60)]  # each linked to several on either side
+    found = near_duplicates(documents(spark, chain))
+    assert sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in found.collect()) == brute(chain)
+
+
+def test_nodes_across_many_ranges_equal_brute_force(spark, rows):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "70")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_duplicates(documents(spark, rows)).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in found) == brute(rows)
+
+
+def test_recall_on_the_small_table(spark, small):
+    table = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    found = near_duplicates(table).collect()
+    own = sorted((r["doc_id"], r["class_id"], r["copy_id"], r["n_copies"], r["n_links"]) for r in found)
+    assert own == brute([tuple(r) for r in table.collect()])
+
+
+def test_done_classes_are_not_looked_up_again(spark):
+    classes = spark.createDataFrame([(b"a",), (b"b",), (b"c",), (b"d",)], "class binary")
+    facts = spark.createDataFrame([(b"a", b"b", 0.01, True), (b"a", b"c", 0.02, True), (b"d", b"a", 0.5, False)], "a binary, b binary, distance double, linked boolean")
+    left = lambda depth: {bytes(r[0]) for r in _unmet(classes, facts, 0.8, depth, 32, 0.999).collect()}
+    assert left(8) == {b"b", b"c", b"d"}  # two close links make the unseen partner weigh little
+    assert left(7) == set()
+
+
 def test_troubled_rows(spark):
     found = near_duplicates(documents(spark, TROUBLED)).collect()
     assert len(found) == len(TROUBLED)
