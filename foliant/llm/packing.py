@@ -6,25 +6,34 @@ What is optimised is the histogram of piece lengths, which has at most
 ``capacity`` entries however many documents there are:
 
 * the configuration LP (how often to use each way to fill a sequence) is solved
-  by multiplicative weights: a length's weight falls with the share of its
-  pieces already placed, and the next configuration is the one of largest
-  weight, found by knapsack dynamic programming;
+  by multiplicative weights: every length has a price, and a round fills as many
+  sequences as the bound below says are needed at least with the configurations
+  of highest price, found by knapsack dynamic programming, no length more often
+  than it has pieces.  Lengths that a round leaves out violate their covering
+  constraint, and their prices rise by a factor that grows with the share left
+  out.  The rounds' average is the solution;
+* prices over the price of the best filled sequence are feasible for the dual
+  program, so every round gives a lower bound, and the largest is kept;
 * the fractional solution is rounded down, then up where pieces remain, and
-  what rounding leaves over is placed by best fit on the histogram;
+  what rounding leaves over is placed by best fit, first where sequences have room;
 * pieces take their places by rank within their length.  Ranks come from
   counts of (length, salt) groups, so a length that a third of all pieces have
   is ranked in many tasks.
 
-Only the histogram and the configurations come to the driver.
+Only the histogram and the configurations come to the driver; there are at most
+as many lengths as the capacity, and rounds times as many configurations.
 
-Defined results: a null text is empty and gives one piece, the end id; repeated
-rows are packed each; an empty table gives no rows.
+Defined results: a null text is empty and gives one piece, the end id; texts of
+any length are encoded whole; repeated rows are packed each, in any order among
+themselves; ids of any type, null too, are carried along; an empty table gives no
+rows.  Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,17 +45,16 @@ from foliant.llm.tokens import CHUNK, worker_encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Largest share of a length's pieces that one step of the multiplicative weights places.
-STEP = 1.0
-#: How strongly weights fall with the share placed, and how they rise with the length:
-#: faster than in proportion, for long pieces have fewer partners.
+#: Rounds of the multiplicative weights, and how strongly a price follows its constraint's violation.
+ROUNDS = 16
 RATE = 0.1
-POWER = 2
+#: Configurations this close to the most valuable one are used before prices are looked at again.
+NEAR = 0.95
 #: Pieces of one length that one task ranks, about.
 RANKED_ROWS = 1_000_000
 LEAST_SALTS = 64
 
-_PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE_SCHEMA = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -62,64 +70,106 @@ def pieces_of(documents: DataFrame, id_col: str, text_col: str, tokenizer_path:
         run = worker_encoder(tokenizer_path)
         for batch in batches:
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
-            keys, rows = [None if x is None or x != x else int(x) for x in batch["doc_id"]], []
+            keys, rows = batch["doc_id"].tolist(), []
             for at in range(0, len(texts), CHUNK):
                 for key, found in zip(keys[at : at + CHUNK], run(texts[at : at + CHUNK]), strict=True):
                     ids = np.array([*found, end_id], dtype="<u4")
                     for n, (start, length) in enumerate(cut(len(ids), capacity)):
                         rows.append((key, n, start, length, zlib.crc32(ids[start : start + length].tobytes())))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     # As a string a 64-bit id stays exact beside null ids.
-    rows = with_text_batches(documents).select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(encode, _PIECE_SCHEMA)
+    rows = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
+    kind = documents.schema[id_col].dataType
+    return rows.mapInPandas(encode, _PIECE_SCHEMA).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
-def best_configuration(lengths: np.ndarray, values: np.ndarray, capacity: int) -> dict[int, int]:
-    """The most valuable multiset of lengths within the capacity (unbounded knapsack)."""
-    order = np.argsort(lengths)
-    lengths, values = lengths[order], values[order]
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1)
+def best_fills(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room the highest price of what fits, and the last length taken (-1: none); unbounded knapsack.
+
+    ``lengths`` ascend; of equally good ones the longest is taken.
+    """
+    size = len(lengths)
+    longest_first, own = lengths[::-1], prices[::-1]
+    begin = size - np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    best, taken = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     for room in range(int(lengths[0]), capacity + 1):
-        n = fitting[room]
-        candidates = best[room - lengths[:n]] + values[:n]
+        candidates = best[room - longest_first[begin[room] :]] + own[begin[room] :]
         at = int(candidates.argmax())
-        best[room], taken[room] = candidates[at], at
-    found: dict[int, int] = {}
-    room = capacity
-    while taken[room] >= 0:
-        length = int(lengths[taken[room]])
-        found[length] = found.get(length, 0) + 1
-        room -= length
-    return found
-
-
-def solve_configuration_lp(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations and how often to use them (fractions) so that every length is covered."""
-    lengths = np.array(sorted(histogram))
-    demand = np.array([histogram[n] for n in lengths.tolist()], dtype=float)
-    left = demand.copy()
-    place = {n: i for i, n in enumerate(lengths.tolist())}
-    solution: list[tuple[dict[int, int], float]] = []
-    while True:
+        best[room], taken[room] = candidates[at], size - 1 - begin[room] - at
+    return best, taken
+
+
+@dataclass
+class Solution:
+    """Configurations (pairs of length and count) with how often to use each, in fractions.
+
+    ``covered`` is the least share of a length's pieces that they hold, ``bound``
+    a number of sequences that no packing can go below.
+    """
+
+    uses: dict[tuple[tuple[int, int], ...], float]
+    covered: float
+    bound: float
+
+
+def _round(lengths: np.ndarray, demand: np.ndarray, prices: np.ndarray, capacity: int, sequences: float) -> tuple[dict, np.ndarray, float]:
+    """Fill so many sequences by price, no length beyond its demand.
+
+    Returns the configurations with their uses, the share of each demand they
+    hold, and the price of the best sequence.
+    """
+    left, uses, highest = demand.copy(), {}, 0.0
+    while sequences > 1e-9:
         active = np.flatnonzero(left > 1e-9 * demand)
         if not len(active):
-            return solution
-        weight = lengths[active].astype(float) ** POWER * np.exp(RATE * (left[active] / demand[active] - 1))
-        found = best_configuration(lengths[active], weight, capacity)
-        amount = min(min(STEP * demand[place[n]], left[place[n]]) / a for n, a in found.items())
-        for n, a in found.items():
-            left[place[n]] -= amount * a
-        solution.append((found, amount))
+            break
+        own, price = lengths[active], prices[active]
+        best, taken = best_fills(own, price, capacity)
+        highest = highest or float(best[capacity])
+        # The best configuration that has a given length, for each of them; the most valuable first, then the longest.
+        value = price + best[capacity - own]
+        order = np.lexsort((-own, -np.round(value / best[capacity], 6)))
+        for i in order[value[order] >= NEAR * value[order[0]]].tolist():
+            found, room = {i: 1}, capacity - int(own[i])
+            while taken[room] >= 0:
+                j = int(taken[room])
+                found[j] = found.get(j, 0) + 1
+                room -= int(own[j])
+            amount = min(sequences, *(left[active[j]] / a for j, a in found.items()))
+            if amount <= 1e-9:
+                continue
+            for j, a in found.items():
+                left[active[j]] -= amount * a
+            sequences -= amount
+            key = tuple(sorted((int(own[j]), a) for j, a in found.items()))
+            uses[key] = uses.get(key, 0.0) + amount
+            if sequences <= 1e-9:
+                break
+    return uses, (demand - left) / demand, highest
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram: equal sequences are opened and filled together."""
+def solve_configuration_lp(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> Solution:
+    """The configuration LP's covering constraints by multiplicative weights."""
+    lengths = np.array(sorted(histogram))
+    demand = np.array([histogram[n] for n in lengths.tolist()], dtype=float)
+    prices = lengths / capacity
+    bound, total, covered = float(demand @ prices), {}, np.zeros(len(lengths))
+    for _ in range(rounds):
+        uses, share, highest = _round(lengths, demand, prices, capacity, bound)
+        bound = max(bound, float(demand @ prices) / highest)
+        covered += share
+        for key, amount in uses.items():
+            total[key] = total.get(key, 0.0) + amount / rounds
+        prices = prices * np.exp(rate * (1 - share))
+    return Solution(total, float(covered.min()) / rounds, bound)
+
+
+def best_fit(histogram: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on a histogram: equal sequences are opened and filled together, those ``begun`` first."""
     open_by_room: dict[int, list[tuple[dict[int, int], int]]] = {}
+    for filled, many in begun:
+        _put(open_by_room, capacity - sum(n * a for n, a in filled.items()), filled, many)
     for length in sorted(histogram, reverse=True):
         count = histogram[length]
         for room in sorted(r for r in open_by_room if r >= length):
@@ -155,25 +205,26 @@ def _put(open_by_room: dict, room: int, filled: dict[int, int], many: int) -> No
     open_by_room.setdefault(room, []).append((filled, many))
 
 
-def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[dict[int, int], int]]:
     """Whole configurations with how many sequences use each; together they hold every piece exactly."""
     left = dict(histogram)
     chosen: list[tuple[dict[int, int], int]] = []
-    solution = solve_configuration_lp(histogram, capacity) if histogram else []
+    solution = solve_configuration_lp(histogram, capacity, rounds, rate).uses if histogram else {}
 
-    def use(found: dict[int, int], many: int) -> None:
-        many = min(many, *(left[n] // a for n, a in found.items()))
+    def use(found: tuple[tuple[int, int], ...], many: int) -> None:
+        many = min(many, *(left[n] // a for n, a in found))
         if many > 0:
-            for n, a in found.items():
+            for n, a in found:
                 left[n] -= many * a
-            chosen.append((found, many))
-
-    for found, amount in solution:
-        use(found, int(amount))
-    for found, amount in sorted(solution, key=lambda x: int(x[1]) - x[1]):
-        if amount > int(amount) and sum(n * a for n, a in found.items()) == capacity:
-            use(found, 1)
-    return chosen + best_fit({n: c for n, c in left.items() if c}, capacity)
+            chosen.append((dict(found), many))
+
+    # Full sequences before those with room, then the most used; a tie goes by the lengths.
+    filled = {key: sum(n * a for n, a in key) for key in solution}
+    for key in sorted(solution, key=lambda k: (-filled[k], -solution[k], k)):
+        use(key, int(solution[key]))
+    for key in sorted(solution, key=lambda k: (-filled[k], int(solution[k]) - solution[k], k)):
+        use(key, 1)
+    return best_fit({n: c for n, c in left.items() if c}, capacity, chosen)
 
 
 def places(chosen: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:

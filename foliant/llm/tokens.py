@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -33,6 +34,9 @@ from foliant.llm.common import table, text_or_empty, with_text_batches, work_pat
 TOKEN_LIMIT = 2048
 #: Texts handed to the library at a time.
 CHUNK = 64
+#: Characters of white space in a row that tiktoken is not given.
+LONG_SPACE = 10_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 _CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
 
@@ -75,7 +79,8 @@ def encoder(path: str, pattern: str = BYTE_LEVEL_PATTERN) -> Callable[[list[str]
     """Texts to id lists by the vocabulary file's library, special tokens not added.
 
     A byte-level .json vocabulary is run by tiktoken, which gives the same ids
-    in half the time; any other .json by tokenizers.
+    in a fifth of the time; any other .json by tokenizers.  So are texts with
+    very long runs of white space, on which tiktoken's patterns run out of stack.
     """
     if path.endswith(".model"):
         import sentencepiece
@@ -94,10 +99,16 @@ def encoder(path: str, pattern: str = BYTE_LEVEL_PATTERN) -> Callable[[list[str]
             return _by_tokenizers(path)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
     encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [
-        encoding.encode(text, allowed_special="all") if any(s in text for s in special) else encoding.encode_ordinary(text)
-        for text in texts
-    ]
+    spare: list[Callable] = []
+
+    def ids(text: str) -> list[int]:
+        if len(text) >= LONG_SPACE and _LONG_SPACE.search(text) and path.endswith(".json"):
+            if not spare:
+                spare.append(_by_tokenizers(path))
+            return list(spare[0]([text])[0])
+        return encoding.encode(text, allowed_special="all") if any(s in text for s in special) else encoding.encode_ordinary(text)
+
+    return lambda texts: [ids(text) for text in texts]
 
 
 def _by_tokenizers(path: str) -> Callable[[list[str]], list]:
@@ -122,7 +133,7 @@ def _by_tokenizers(path: str) -> Callable[[list[str]], list]:
         def __iter__(self):
             return iter(self.found.ids)
 
-    return lambda texts: [_Ids(x) for x in loaded.encode_batch(texts, add_special_tokens=False)]
+    return lambda texts: [_Ids(x) for x in loaded.encode_batch_fast(texts, add_special_tokens=False)]  # without places in the text
 
 
 def worker_encoder(path: str) -> Callable[[list[str]], list]:

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from foliant.llm.common import work_path
-from foliant.llm.packing import best_fit, configurations, cut, pack
+from foliant.llm.packing import best_fit, configurations, cut, pack, solve_configuration_lp
 from foliant.llm.tokens import count_tokens, encoder, ignores_space_runs, read_cache
 from tests.llm.helpers import TROUBLED, documents
 
@@ -70,8 +70,52 @@ def test_configurations_hold_every_piece(seed):
     assert sequences <= 1.01 * -(-int(lengths.sum()) // 256) + 2
 
 
+def kinds():
+    draw = np.random.default_rng(3)
+    even = lambda low, high, n: dict(zip(*(x.tolist() for x in np.unique(draw.integers(low, high, n), return_counts=True)), strict=True))
+    return {"long": even(342, 700, 5000), "thirds": even(200, 500, 5000), "halves": even(513, 1024, 2000), "mixed": even(100, 900, 5000)}
+
+
+@pytest.mark.parametrize("kind", ["long", "thirds", "halves", "mixed"])
+def test_sequences_against_the_bound_of_the_linear_program(kind):
+    histogram = kinds()[kind]
+    solution = solve_configuration_lp(histogram, 1024)
+    held = dict.fromkeys(histogram, 0.0)
+    for found, amount in solution.uses.items():
+        assert sum(n * a for n, a in found) <= 1024
+        for n, a in found:
+            held[n] += a * amount
+    shares = [held[n] / histogram[n] for n in histogram]
+    assert max(shares) <= 1 + 1e-6 and abs(min(shares) - solution.covered) < 1e-6
+    # Uses over the least share cover everything: a solution of the linear program, no better than the bound.
+    assert solution.bound <= sum(solution.uses.values()) / solution.covered + 1e-6
+    own, plain = (sum(m for _, m in x) for x in (configurations(histogram, 1024), best_fit(histogram, 1024)))
+    assert solution.bound - 1e-6 <= own <= plain * 1.01 + 1
+    assert own <= solution.bound * {"long": 1.05, "thirds": 1.03, "halves": 1.1, "mixed": 1.02}[kind]
+    if kind == "halves":
+        assert own == sum(histogram.values())  # no two fit
+
+
+def test_the_weights_decide():
+    histogram = {8: 600, 5: 600, 6: 600, 3: 600, 7: 600}
+    fixed, moved = solve_configuration_lp(histogram, 20, rate=0.0), solve_configuration_lp(histogram, 20)
+    assert fixed.covered < 0.75 and moved.covered > 0.95
+    still, own = (sum(m for _, m in configurations(histogram, 20, rate=r)) for r in (0.0, 0.1))
+    assert 870 <= own < still  # 870 sequences are full
+    thirds = kinds()["thirds"]
+    assert sum(m for _, m in configurations(thirds, 1024)) < 0.97 * sum(m for _, m in best_fit(thirds, 1024))
+
+
+def test_long_white_space_and_other_ids(spark):
+    rows = [("a", " " * 1_000_000), ("b", "x" + "\n" * 40_000 + "y"), ("c", "word"), (None, None)]
+    library = Tokenizer.from_file(BYTE)
+    found = pack(spark.createDataFrame(rows, "doc_id string, text string"), "doc_id", "text", BYTE).toPandas()
+    sizes = {k: len(library.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in rows}
+    assert {k: int(found[found.doc_id.eq(k) if k else found.doc_id.isna()].length.sum()) for k, _ in rows} == sizes
+
+
 def test_packing(spark):
-    rows = [(i, t if t is None else t[:30_000]) for i, t in TROUBLED if i is not None and i not in (5,)] + [(100 + i, t) for i, t in enumerate(texts())]
+    rows = [(i, t) for i, t in TROUBLED if i is not None and i not in (5,)] + [(100 + i, t) for i, t in enumerate(texts())]
     library = Tokenizer.from_file(BYTE)
     found = pack(documents(spark, rows), "doc_id", "text", BYTE).toPandas()
     for key, own in found.groupby("doc_id"):
