@@ -17,12 +17,19 @@ Defined results
   each other are each a candidate of their own, while repeated query rows
   (same id and same vector) are answered once;
 * equal scores are ordered by the smaller id; a query with fewer than k
-  candidates gets all of them; empty tables give no rows.
+  candidates gets all of them; empty tables give no rows;
+* any finite component takes part.  Vectors with components too large for 64-bit
+  products are multiplied as whole numbers of any size; a score beyond 64 bits
+  is ranked by its size (as a double) and given as the nearest 64-bit number;
+* other columns are not read and may have any name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
+from math import isqrt
+from sys import float_info
 
 import numpy as np
 import pandas as pd
@@ -37,37 +44,76 @@ FAN_IN = 16
 #: Rows of a tile's query side that are multiplied at a time.
 SLICE = 256
 
-_TILE_SCHEMA = "query_id long, vkey long, shard int, top array<struct<loss:long,vec_id:long>>"
+#: Up to here every whole number is a double.
+EXACT = 2**53
+LARGEST = 2**63 - 1
+
+_TILE_SCHEMA = "query_id long, vkey long, shard int, top array<struct<wide:double,loss:long,vec_id:long>>"
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v): the usable vectors with components floor(scale * x)."""
+    """(vec_id, v): the usable vectors with components floor(scale * x), as doubles that hold whole numbers."""
     x = F.col(vec_col).cast("array<double>")
     usable = (
         F.col(id_col).isNotNull()
         & (F.size(x) > 0)
         & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     )
-    return vectors.where(usable).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")
-    )
+    top = F.lit(float_info.max)
+    whole = lambda c: F.when(F.abs(c) < EXACT, F.floor(c).cast("double")).otherwise(F.least(F.greatest(c, -top), top))
+    return vectors.where(usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: whole(c * scale)).alias("v"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), dtype=np.int64)
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+def _hit(score: int, vec_id: int) -> dict:
+    try:
+        wide = -float(score)
+    except OverflowError:
+        wide = -np.inf if score > 0 else np.inf
+    return {"wide": wide, "loss": -max(-LARGEST, min(LARGEST, score)), "vec_id": vec_id}
 
 
 def best_of_tile(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int
 ) -> Iterator[tuple[int, list[dict]]]:
-    """For each query its k best (-score, id) of a shard; exact for 64-bit scores."""
+    """For each query its k best hits (-score, id) of a shard, exactly."""
     order = np.argsort(ids, kind="stable")
-    ids, shard, n = ids[order], shard[order], len(ids)
+    ids, shard = ids[order], shard[order]
+    most = isqrt(2**62 // shard.shape[1])
+    small, fits = (np.abs(x).max(axis=1) <= most for x in (queries, shard))
+    others = np.flatnonzero(~fits)
+    large = _whole(shard[others])
+    found = _best_of_small(query_ids[small], queries[small].astype(np.int64), ids[fits], shard[fits].astype(np.int64), k)
+    for i, few in zip(np.flatnonzero(small).tolist(), found, strict=True):
+        if len(others):
+            scores = large @ _whole(queries[i : i + 1])[0]
+            few = _first(few + [(int(s), int(ids[j])) for s, j in zip(scores, others, strict=True) if ids[j] != query_ids[i]], k)
+        yield i, [_hit(*x) for x in few]
+    if not small.all():
+        whole = _whole(shard)
+        for i in np.flatnonzero(~small).tolist():
+            scores = whole @ _whole(queries[i : i + 1])[0]
+            yield i, [_hit(*x) for x in _first([(int(s), int(j)) for s, j in zip(scores, ids, strict=True) if j != query_ids[i]], k)]
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size."""
+    return np.array([[int(x) for x in row] for row in rows.tolist()], dtype=object).reshape(rows.shape)
+
+
+def _first(hits: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    return nsmallest(k, hits, key=lambda x: (-x[0], x[1]))
+
+
+def _best_of_small(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, shard: np.ndarray, k: int) -> Iterator[list[tuple[int, int]]]:
+    """For each query its k best (score, id); products fit into 64 bits and ``ids`` are sorted."""
+    n = len(ids)
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(shard).max(initial=0)) * shard.shape[1]
-    if bound >= 2**63:
-        raise OverflowError("inner products of these vectors do not fit into 64 bits")
     # A double holds (score, position) as one exact number while this bound is kept.
-    packed = bound * n + n < 2**53
+    packed = bound * n + n < EXACT
     dense = shard.T.astype(np.float64) if packed else shard.T
     position = np.arange(n - 1, -1, -1)
     for at in range(0, len(queries), SLICE):
@@ -83,8 +129,7 @@ def best_of_tile(
                 few = few[np.argsort(-key[few], kind="stable")]
             else:
                 few = np.lexsort((ids, -row))[: k + hi - lo]
-            found = [{"loss": -int(row[j]), "vec_id": int(ids[j])} for j in few if not lo <= j < hi]
-            yield at + i, found[:k]
+            yield [(int(row[j]), int(ids[j])) for j in few if not lo <= j < hi][:k]
 
 
 def top_k(

@@ -39,8 +39,16 @@ def test_empty_and_few(spark):
 
 def test_large_components_stay_exact():
     big = 2**29
-    ids, shard = np.array([1, 2, 3]), np.array([[big, 1], [big, 2], [-big, 0]])
-    found = dict(best_of_tile(np.array([9]), np.array([[big, 1]]), ids, shard, 2))
-    assert found[0] == [{"loss": -(big * big + 2), "vec_id": 2}, {"loss": -(big * big + 1), "vec_id": 1}]
-    with pytest.raises(OverflowError):
-        list(best_of_tile(np.array([9]), np.array([[2**40, 1]]), ids, np.array([[2**40, 1]] * 3), 2))
+    ids, shard = np.array([1, 2, 3]), np.array([[big, 1], [big, 2], [-big, 0]], dtype=float)
+    found = dict(best_of_tile(np.array([9]), np.array([[big, 1.0]]), ids, shard, 2))
+    assert [(h["loss"], h["vec_id"]) for h in found[0]] == [(-(big * big + 2), 2), (-(big * big + 1), 1)]
+
+
+@pytest.mark.parametrize("shard_rows", [3, 1000])
+def test_components_beyond_64_bit_products(spark, shard_rows):
+    rows = [(i, [float(i % 7), 2.0**40 + i, -1.0 - i]) for i in range(25)] + [(20 * i, [1.0, -0.5, 2.0 ** (20 * i)]) for i in range(2, 5)]
+    rows += [(100, [1e300, 0.0, 0.0]), (101, [-1e300, 1.0, 1.0]), (120, [1.0, 1.0, 1.0])]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v", F.col("vec_id") % 20 == 0, k=5, shard_rows=shard_rows)
+    most = 2**63 - 1
+    wanted = {(q, n, i, max(-most, min(most, s))) for q, n, i, s in brute(rows, 5)}
+    assert {tuple(r) for r in found.collect()} == wanted
