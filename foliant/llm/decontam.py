@@ -1,14 +1,20 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-One scan of the corpus finds where its word n-grams occur in benchmark items.
-Nearby hits of one item become a passage.  Every passage is a candidate, however
-many documents hold its seeds: a seed that many hold may be an item's copies
-themselves.  Equal passages of a batch are aligned once, and a passage whose
-words cannot reach the threshold in any order is not aligned, so frequent
-phrases cost little and no result.  Each other candidate is aligned with its item
-word by word (local alignment, linear gaps); the score is the share of the
-best possible score of the item, so edited and paraphrased copies score by how
-much of the item they keep.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Every run of four words of an item is a seed if few items hold it; a run that
+more than ``SHARED`` items hold grows by the words after it until so few do, so a
+template's phrases seed nothing by themselves and a text brings at most
+``SHARED`` items for each of its places.  An item whose runs all stay common is
+seeded by its whole text.  Items with equal words are one.
+
+One scan of the corpus finds where seeds occur.  Nearby hits of one item become
+a passage, and every passage is a candidate, however many documents hold its
+seeds: a seed that many hold may be an item's copies themselves.  Equal passages
+of a batch are aligned once, and a passage whose words cannot reach the
+threshold in any order is not aligned, so phrases that are frequent in the
+corpus cost little.  Each other candidate is aligned with its item word by word
+(local alignment, linear gaps); the score is the share of the best possible
+score of the item, so edited and paraphrased copies score by how much of the
+item they keep.
 
 The item side is shipped to the tasks in groups of at most ``GROUP_WORDS``
 words; a larger benchmark takes one scan for each group.  Passages are shipped
@@ -16,11 +22,12 @@ as ids of the items' own words.
 
 Defined results
 * words are runs of letters, digits and underscores, lower-cased; null texts
-  are empty; items of fewer than ``SEED_WORDS`` words hold no seed and match
-  nothing, as do copies without a run of so many of an item's words; empty
-  tables give no rows;
-* one row per (doc_id, item_id): rows that repeat a doc_id give one row, the
-  best; an id may be null.
+  are empty; whole texts are read, however long; items of fewer than
+  ``SEED_WORDS`` words hold no seed and match nothing, as do copies without a
+  seed of the item; empty tables give no rows;
+* one row per (doc_id, item_id): rows that repeat either id give one row, the
+  best; of equal scores the passage that begins first counts; ids may be null
+  and of any type; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -36,6 +43,9 @@ from pyspark.sql import functions as F
 from foliant.llm.common import table, text_or_empty, with_text_batches, written
 
 SEED_WORDS = 4
+#: Distinct items that hold a seed, at most, and words to which a common run grows.
+SHARED = 32
+LONGEST_SEED = 16
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of the item's best possible score from which a document is contaminated.
 THRESHOLD = 0.6
@@ -46,7 +56,7 @@ BATCH = 512
 BATCH_WORDS = 1 << 20
 
 _WORD = re.compile(r"\w+")
-_SCORE_SCHEMA = "doc_id string, item_id long, score double, begin int, length int"
+_SCORE_SCHEMA = "doc_id string, item_id string, score double, begin int, length int"
 
 
 def words_of(text: str) -> list[str]:
@@ -54,50 +64,27 @@ def words_of(text: str) -> list[str]:
 
 
 class Items:
-    """A group of benchmark items: vocabulary, word ids and sorted seeds."""
+    """A group of benchmark items with distinct words: vocabulary, word ids and sorted seeds by length."""
 
-    def __init__(self, rows: list[tuple[int | None, str]]):
-        self.ids = [item_id for item_id, _ in rows]
+    def __init__(self, rows: list[tuple[str | None, str]], shared: int = SHARED):
+        own: dict[tuple[str, ...], list[str | None]] = {}
+        for item_id, text in rows:
+            own.setdefault(tuple(words_of(text)), []).append(item_id)
+        self.ids = [list(dict.fromkeys(x)) for x in own.values()]
         self.vocabulary: dict[str, int] = {}
-        self.words = [
-            np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)], dtype=np.int32)
-            for _, text in rows
-        ]
-        keys, owners, places = [], [], []
-        for i, own in enumerate(self.words):
-            found = seed_keys(own)
-            keys.append(found)
-            owners.append(np.full(len(found), i, dtype=np.int32))
-            places.append(np.arange(len(found), dtype=np.int32))
-        self.keys, self.owners, self.places = (
-            np.concatenate(x) if x else np.zeros(0, kind)
-            for x, kind in ((keys, np.uint64), (owners, np.int32), (places, np.int32))
-        )
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.owners, self.places = self.keys[order], self.owners[order], self.places[order]
-        self.distinct, self.first = np.unique(self.keys, return_index=True)
-        self.sizes = np.array([len(w) for w in self.words])
+        self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], dtype=np.int32) for words in own]
+        self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.counts = [np.unique(w, return_counts=True) for w in self.words]
+        self.seeds = {length: _sorted_seeds(*x) for length, x in _rare_runs(self.words, self.sizes, shared).items()}
 
     def passages(self, text: str) -> Iterator[tuple[int, int, bytes]]:
         """(item, first word, word ids) of each stretch of a text around hits of one item."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int32)
-        if len(ids) < SEED_WORDS or not len(self.distinct):
+        found = list(self._hits(ids))
+        if not found:
             return
-        keys = seed_keys(ids)
-        known = np.flatnonzero(np.convolve(ids < 0, np.ones(SEED_WORDS, dtype=int), "valid") == 0)
-        at = np.searchsorted(self.distinct, keys[known])
-        hit = self.distinct[np.minimum(at, len(self.distinct) - 1)] == keys[known]
-        known, at = known[hit], at[hit]
-        if not len(known):
-            return
-        # Every (place in the text, place in an item) of equal seeds; an item repeats few of its seeds.
-        first = self.first[at]
-        many = np.append(self.first, len(self.keys))[at + 1] - first
-        where = np.repeat(known, many)
-        slot = np.repeat(first, many) + np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
-        owner, place = self.owners[slot], self.places[slot]
+        where, owner, place = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((where, owner))
         where, owner, place = where[order], owner[order], place[order]
         size = self.sizes[owner]
@@ -109,6 +96,27 @@ class Items:
             end = min(len(ids), int((where[part] - place[part]).max()) + n + slack)
             yield item, begin, ids[begin:end].tobytes()
 
+    def _hits(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in the text, item, place in the item) of equal seeds, for each length."""
+        keys, unknown = np.zeros(len(ids), dtype=np.uint64), np.cumsum(np.append(0, ids < 0))
+        for length in range(1, max(self.seeds, default=0) + 1):
+            if len(ids) < length:
+                return
+            keys = _grown(keys[: len(ids) - length + 1], ids[length - 1 :])
+            if length not in self.seeds:
+                continue
+            distinct, first, owners, places = self.seeds[length]
+            known = np.flatnonzero(unknown[length:] == unknown[:-length])
+            at = np.searchsorted(distinct, keys[known])
+            hit = distinct[np.minimum(at, len(distinct) - 1)] == keys[known]
+            known, at = known[hit], at[hit]
+            if not len(known):
+                continue
+            begin, many = first[at], first[at + 1] - first[at]
+            where = np.repeat(known, many)
+            slot = np.repeat(begin, many) + np.arange(len(where)) - np.repeat(np.cumsum(many) - many, many)
+            yield where, owners[slot], places[slot]
+
     def bound(self, item: int, words: np.ndarray) -> float:
         """What the passage's score is at most: the share of the item's words that it holds, in any order."""
         own, wanted = self.counts[item]
@@ -117,13 +125,46 @@ class Items:
         return np.minimum(held, wanted).sum() / wanted.sum()
 
 
-def seed_keys(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each run of SEED_WORDS word ids (alignment decides, so a collision does no harm)."""
-    n = len(ids) - SEED_WORDS + 1
-    keys = np.zeros(max(n, 0), dtype=np.uint64)
-    for i in range(SEED_WORDS if n > 0 else 0):
-        keys = keys * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + n].astype(np.uint64) + np.uint64(1)
-    return keys
+def _grown(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """64-bit keys of runs of word ids with a further word each (alignment decides, so a collision does no harm)."""
+    return keys * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.int64).astype(np.uint64) + np.uint64(1)
+
+
+def _rare_runs(words: list[np.ndarray], sizes: np.ndarray, shared: int) -> dict[int, tuple[np.ndarray, ...]]:
+    """(keys, items, places) of the seeds by their length: the shortest run at each place that at most ``shared`` items hold."""
+    flat = np.concatenate([np.zeros(0, np.int32), *words])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = np.arange(len(flat)) - np.repeat(starts, sizes)
+    keys = np.zeros(len(flat), dtype=np.uint64)
+    found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    seeded = np.zeros(len(words), dtype=bool)
+    for length in range(1, LONGEST_SEED + 1):
+        fits = place + length <= sizes[owner]
+        owner, place, keys = owner[fits], place[fits], keys[fits]
+        keys = _grown(keys, flat[starts[owner] + place + length - 1])
+        if length < SEED_WORDS or not len(keys):
+            continue
+        held = np.unique(np.stack([keys, owner.astype(np.uint64)]), axis=1)[0]  # once for each item
+        distinct, holders = np.unique(held, return_counts=True)
+        rare = holders[np.searchsorted(distinct, keys)] <= shared
+        if rare.any():
+            found[length] = [(keys[rare], owner[rare], place[rare])]
+            seeded[owner[rare]] = True
+        owner, place, keys = owner[~rare], place[~rare], keys[~rare]
+    for item in np.flatnonzero(~seeded & (sizes >= SEED_WORDS)).tolist():
+        key = np.zeros(1, dtype=np.uint64)
+        for word in words[item]:
+            key = _grown(key, word.reshape(1))
+        found.setdefault(int(sizes[item]), []).append((key, np.array([item]), np.zeros(1, dtype=np.int64)))
+    return {length: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) for length, parts in found.items()}
+
+
+def _sorted_seeds(keys: np.ndarray, owners: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(distinct keys, where the rows of each begin, items, places), by key."""
+    order = np.argsort(keys, kind="stable")
+    distinct, first = np.unique(keys[order], return_index=True)
+    return distinct, np.append(first, len(keys)), owners[order].astype(np.int32), places[order].astype(np.int32)
 
 
 def align(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
@@ -162,7 +203,7 @@ def find_contamination(
     group_words: int = GROUP_WORDS,
 ) -> DataFrame:
     """(id, item_id, score, begin, length): documents that hold a benchmark item, and where."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text_col).alias("text"))
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), text_or_empty(item_text_col).alias("text"))
     size = items.select(F.sum(F.length("text") / 2 + 1).alias("words")).first()["words"] or 0  # a word has 2 characters, or 1 and a space
     groups = max(1, int(-(-size // group_words)))
     keyed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
@@ -175,7 +216,7 @@ def find_contamination(
         F.max("score").alias("score"), F.max_by(F.struct("begin", "length"), F.struct("score", -F.col("begin"))).alias("at")
     ).select(
         F.col("doc_id").cast(documents.schema[id_col].dataType).alias(id_col),
-        "item_id",
+        F.col("item_id").cast(benchmark.schema[item_col].dataType).alias("item_id"),
         "score",
         F.col("at.begin").alias("begin"),
         F.col("at.length").alias("length"),
@@ -203,8 +244,8 @@ def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, thresh
                 scored = part.assign(score=share, length=[len(x) for x in right])[share >= threshold]
                 out = hits.merge(scored, on=["item", "words"])
                 if len(out):
-                    out["item_id"] = pd.array([own.ids[i] for i in out["item"]], dtype="Int64")
-                    yield out[["doc_id", "item_id", "score", "begin", "length"]]
+                    out["item_id"] = [own.ids[i] for i in out["item"]]
+                    yield out[["doc_id", "item_id", "score", "begin", "length"]].explode("item_id")
 
     texts = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return written(texts.mapInPandas(score, _SCORE_SCHEMA), "contaminated")

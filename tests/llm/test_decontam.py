@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 
@@ -73,6 +74,53 @@ def test_the_bound_is_never_below_the_score():
         assert own.bound(0, ids) >= align([own.words[0]], [ids])[0] / (MATCH * len(item))
 
 
+def test_equals_aligning_every_document_with_every_item(spark):
+    """All pairs that share a run of four words, and nine tenths of all pairs at the threshold at least."""
+    draw, own = random.Random(3), [prose(500 + i, draw_size) for i, draw_size in enumerate((15, 20, 30, 45, 60, 80))]
+    rows = []
+    for key in range(90):
+        words = own[key % 6].rstrip(".").split()
+        for at in draw.sample(range(len(words)), draw.randrange(len(words) // 2)):
+            words[at] = draw.choice(["other", "more", words[at - 1]])
+        rows.append((key, " ".join(prose(2000 + key, 40).split() + words * (key % 3) + prose(3000 + key, 40).split())))
+    split = [re.findall(r"\w+", x.lower()) for x in own]
+    wanted, sharing = {}, set()
+    for key, text in rows:
+        words = re.findall(r"\w+", text.lower())
+        runs = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+        for item, mine in enumerate(split):
+            score = smith_waterman(mine, words) / (MATCH * len(mine))
+            if score >= 0.6:
+                wanted[key, item] = score
+                if any(tuple(mine[i : i + 4]) in runs for i in range(len(mine) - 3)):
+                    sharing.add((key, item))
+    benchmark = spark.createDataFrame(list(enumerate(own)), "item_id int, text string")
+    found = {(r["doc_id"], r["item_id"]): r["score"] for r in find_contamination(documents(spark, rows), benchmark).collect()}
+    assert set(found) == sharing and len(sharing) >= 0.9 * len(wanted) > 30
+    assert all(abs(found[x] - wanted[x]) < 1e-9 for x in found)
+
+
+def test_templated_items_bring_few_candidates():
+    words = [f"t{i}" for i in range(40)]
+    own = Items([(str(i), " ".join([*words[:25], f"name{i}", f"place{i}", *words[25:]])) for i in range(3000)])
+    template = " ".join(words[:25]) + " x " + " ".join(words[25:])
+    assert not list(own.passages(template * 5))
+    held = list(own.passages("a b " + " ".join([*words[10:25], "name7", "place7", *words[25:30]])))
+    assert [own.ids[item] for item, _, _ in held] == [["7"]]
+    # Items without a rare run are found by their whole text, and equal items share their seeds.
+    nested = Items([*((str(i), f"a b c d e{i}") for i in range(100)), ("short", "a b c d"), *(("same" + str(i), "p q r s t") for i in range(100))])
+    assert [nested.ids[i] for i, _, _ in nested.passages("x a b c d x")] == [["short"]]
+    assert [len(nested.ids[i]) for i, _, _ in nested.passages("x p q r s x")] == [100]
+
+
+def test_ids_of_other_types_and_repeats(spark):
+    own = prose(1, 20)
+    benchmark = spark.createDataFrame([("i", own), ("i", prose(2, 20)), ("k", own.upper()), (None, own)], "name string, text string")
+    docs = spark.createDataFrame([("d", own), ("d", prose(2, 20)), (None, own)], "doc string, text string")
+    found = find_contamination(docs, benchmark, "doc", "text", "name").collect()
+    assert sorted((r["doc"] or "", r["item_id"] or "") for r in found) == [("", ""), ("", "i"), ("", "k"), ("d", ""), ("d", "i"), ("d", "k")]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame(items(), "item_id long, text string")
