@@ -9,12 +9,16 @@ leaves nothing on the machines' own disks.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _WORK = "foliant-work"
 
@@ -30,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="foliant-")
+    folder = tempfile.mkdtemp(prefix="foliant-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -50,47 +56,88 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: For each open ``scratch`` the tables written in it: session and path.
+_scratches: list[dict[str, SparkSession]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._foliant_path = path
+    if _scratches:
+        _scratches[-1][path] = spark
+    return found
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at its end, except those given to the function it yields."""
+    tables: dict[str, SparkSession] = {}
+    _scratches.append(tables)
+
+    def keep(df: DataFrame) -> DataFrame:
+        tables.pop(df._foliant_path, None)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratches.remove(tables)
+        for path, spark in tables.items():
+            _forget(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+def with_row_keys(df: DataFrame, name: str, id_col: str) -> DataFrame:
     """``df`` with a string column that tells its rows apart, the same at every reading.
 
-    A key is a file and a position in it; rows that do not come straight from
-    Parquet files are written first.
+    Keys sort by id, then by a digest of the row's content, so which of two
+    rows has the smaller key is the same in every run and for every layout of
+    the files; only rows that are equal in every column are told apart by file
+    and position.  Rows that do not come straight from Parquet files are written
+    first.
     """
+    kind = df.schema[id_col].dataType
+    own = F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0") if isinstance(kind, T.IntegralType) else F.col(id_col).cast("string")
+    content = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    key = F.concat_ws(":", F.coalesce(own, F.lit("~")), F.hex(F.xxhash64(*content)), F.hex(F.xxhash64(F.lit(1), *content)), _file_position())
     try:
-        return df.withColumn(name, _file_position())
+        return df.withColumn(name, key)
     except AnalysisException:
-        return written(df, "rows").withColumn(name, _file_position())
+        return written(df, "rows").withColumn(name, key)
 
 
 def _file_position():
     return F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
 
 
-#: Rows of whole texts that go to a Python worker at once, at most.
-TEXT_ROWS = 1000
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Bytes of whole texts that go to a Python worker at once, about.
+BATCH_BYTES = 4 << 20
 
 
 def with_text_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself; its session hands texts to Python workers in small Arrow batches from now on.
+    """``df`` itself; its session hands rows to Python workers in Arrow batches of few bytes from now on.
 
     A batch stands in memory several times (Arrow buffers on either side and
-    Python strings), so whole texts need smaller ones than rows of numbers.
+    Python strings).  The bound is by bytes, so rows of numbers still travel in
+    large batches; it stays set, as the plans that need it run later.
     """
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(setting)) <= TEXT_ROWS:
-        df.sparkSession.conf.set(setting, str(TEXT_ROWS))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(setting, str(BATCH_BYTES))
     return df
 
 

@@ -42,7 +42,7 @@ any name; the ids need an order, which decides between equal texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -53,7 +53,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import table, text_or_empty, with_text_batches, written
+from foliant.llm.common import scratch, table, text_or_empty, with_text_batches, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -356,6 +356,13 @@ def near_duplicates(
     the texts with the same shingle set, ``n_copies`` the number of further rows
     with that set and ``n_links`` the number of other sets at the threshold.
     """
+    with scratch() as keep:
+        return _near_duplicates(documents, id_col, text_col, threshold, trees, deepest, target, count_links, keep)
+
+
+def _near_duplicates(
+    documents: DataFrame, id_col: str, text_col: str, threshold: float, trees: int, deepest: int, target: float, count_links: bool, keep: Callable
+) -> DataFrame:
     limit = Fraction(str(threshold)).limit_denominator(1000)
     floor = depth_for(threshold, trees, deepest, target)
     rows = written(_signed(documents, id_col, text_col, trees, deepest), "nd-rows")
@@ -400,7 +407,7 @@ def near_duplicates(
     named = groups.join(written(names, "nd-names"), "part").select("class", "class_id", F.col("id").alias("copy_id"), (F.col("copies") - 1).alias("n_copies"))
     if count_links:
         named = named.join(_link_counts(parts, sets, limit), "class", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    named = written(named, "nd-named")
+    named, rows = keep(written(named, "nd-named")), keep(rows)
     return rows.select("class", F.col("id").alias(id_col)).join(named, "class").drop("class")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import corpus_pipeline
-from foliant.llm.common import written
+from foliant.llm.common import scratch, written
 from tests.llm.helpers import TROUBLED, documents, prose
 from tests.llm.test_neardup import edited
 
@@ -60,6 +60,35 @@ def test_run(spark, sf_dir):
     assert packed.where("doc_id = 102").count() == 1
 
 
+def test_the_same_rows_stay_in_every_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = []
+    for n in (1, 5):
+        stage = written(docs.repartition(n, "text"), "t")
+        for name in ("quality", "near_duplicate", "decontamination", "personal_data"):
+            stage = written(STAGES[name](spark, stage, sf_dir), name)
+        kept.append(sorted(map(str, stage.collect())))
+    assert kept[0] == kept[1]
+    ids = {r["doc_id"] for r in stage.collect()}
+    assert {100, 101} <= ids and not ids & {*range(200, 205), *range(300, 305)}
+
+
+def test_columns_named_like_the_stages_own(spark, sf_dir):
+    rows = [(1, prose(1, 60), "a", "b"), (2, prose(1, 60), "c", "d"), (3, "mail a.b@c.example.com " + prose(3, 60), "e", "f")]
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, row_key string, before string"), "t")
+    for name in ("near_duplicate", "decontamination", "personal_data"):
+        docs = written(STAGES[name](spark, docs, sf_dir), name)
+    assert sorted((r["doc_id"], r["row_key"], r["before"]) for r in docs.collect()) == [(1, "a", "b"), (3, "e", "f")]
+
+
+def test_scratch_removes_what_is_not_kept(spark):
+    with scratch() as keep:
+        gone, stays = written(spark.range(3), "t"), keep(written(spark.range(4), "t"))
+    assert stays.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
+        gone.count()
+
+
 def test_stages_take_frames_that_are_no_files(spark, sf_dir):
     docs = documents(spark, [(1, prose(1, 50)), (2, prose(1, 50))])
     assert STAGES["near_duplicate"](spark, docs, sf_dir).count() == 1
