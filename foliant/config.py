@@ -165,6 +165,9 @@ class EngineConfig:
     min_group_blocks: int = 2
     embedded_characters: int = 512
     dimensions: int = 64
+    #: ``hashing``, or where a sentence model is.
+    embedding_model_path: str = "hashing"
+    max_processing_seconds: float = 60.0
     persona_keywords: tuple[str, ...] = PERSONA_KEYWORDS
     trivial_titles: tuple[str, ...] = TRIVIAL_TITLES
     informative: tuple[str, ...] = INFORMATIVE

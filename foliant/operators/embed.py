@@ -7,16 +7,19 @@ weighs tokens by rarity, ``precomputed`` joins stored vectors and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from hashlib import md5
 from math import sqrt
 
 import pandas as pd
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.config import DEFAULT, EngineConfig
 from foliant.functions.text import words
+from foliant.sources.work import written
 
 
 def buckets(text: Column, config: EngineConfig = DEFAULT) -> Column:
@@ -56,24 +59,25 @@ def similarity(own: Column, text: str, config: EngineConfig = DEFAULT) -> Column
 
 
 def tfidf_similarity(texts: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
-    """(id, similarity): weighted cosine of each text with a query text, by joins on tokens."""
+    """(id, similarity): weighted cosine of each text with a query text.
+
+    The counts of (text, token) are made once and written; their norms and
+    products come from one aggregate, as the query's few weights are constants.
+    """
     tokens = texts.select(F.col(id_col).alias("id"), F.explode(words(F.lower(F.col(text_col)))).alias("token"))
-    counts = tokens.groupBy("id", "token").agg(F.count("*").alias("tf"))
-    n = texts.agg(F.count("*").alias("n_texts"))  # one row
-    frequency = counts.groupBy("token").agg(F.count("*").alias("df"))
-    spark = texts.sparkSession
-    asked = spark.createDataFrame([(w,) for w in query.lower().split()], "token string").groupBy("token").agg(F.count("*").alias("qtf"))
-    weights = frequency.join(F.broadcast(n)).withColumn("idf", F.log((F.col("n_texts") + 1) / (F.col("df") + 1)) + 1)  # one row meets each token
-    own = counts.join(weights.select("token", "idf"), "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = own.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    query_weights = asked.join(weights.select("token", "idf"), "token").withColumn("qw", F.col("qtf") * F.col("idf"))  # few rows
-    query_norm = query_weights.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
-    products = own.join(F.broadcast(query_weights.select("token", "qw")), "token").groupBy("id").agg(F.sum(F.col("w") * F.col("qw")).alias("product"))
-    return (
-        products.join(norms, "id")
-        .join(F.broadcast(query_norm))
-        .select(F.col("id").alias(id_col), (F.col("product") / (F.col("norm") * F.col("qnorm"))).alias("similarity"))
-    )
+    counts = written(tokens.groupBy("id", "token").agg(F.count("*").alias("tf")), "tfidf-counts")
+    n = texts.count()
+    weights = counts.groupBy("token").agg((F.log((F.lit(n) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
+    asked = Counter(query.lower().split())
+    found = {r["token"]: r["idf"] for r in weights.where(F.col("token").isin(*asked)).collect()}  # the query's words only
+    scaled = {token: asked[token] * idf for token, idf in found.items()}
+    query_norm = sqrt(sum(w * w for w in scaled.values()))
+    own = F.lit(0.0)
+    for token, weight in sorted(scaled.items()):
+        own = F.when(F.col("token") == token, F.lit(weight)).otherwise(own)
+    weighed = counts.join(weights, "token").select("id", (F.col("tf") * F.col("idf")).alias("w"), own.alias("qw"))
+    sums = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(F.col("w") * F.col("qw")).alias("product"))
+    return sums.where("product > 0").select(F.col("id").alias(id_col), (F.col("product") / (F.col("norm") * F.lit(query_norm))).alias("similarity"))
 
 
 def precomputed(rows: DataFrame, id_col: str, vectors: DataFrame, vector_id: str, vector_col: str) -> DataFrame:
@@ -82,14 +86,30 @@ def precomputed(rows: DataFrame, id_col: str, vectors: DataFrame, vector_id: str
     return rows.join(stored, id_col, "left")
 
 
-def transformer(texts: DataFrame, text_col: str, model: str, batch_rows: int = 64) -> DataFrame:
+#: Models of this Python worker by name: each is loaded once for all of the worker's tasks.
+_LOADED = "_foliant_models"
+
+
+def worker_model(model: str, load: Callable[[str], object]) -> object:
+    """The model of this worker, loaded at its first use."""
+    kept = pyspark.__dict__.setdefault(_LOADED, {})
+    if model not in kept:
+        kept[model] = load(model)
+    return kept[model]
+
+
+def sentence_model(model: str) -> object:
+    from sentence_transformers import SentenceTransformer
+
+    return SentenceTransformer(model)
+
+
+def transformer(texts: DataFrame, text_col: str, model: str, batch_rows: int = 64, load: Callable[[str], object] = sentence_model) -> DataFrame:
     """``texts`` with vectors of a sentence model; each distinct text is encoded once."""
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from sentence_transformers import SentenceTransformer
-
-        loaded = SentenceTransformer(model)
+        loaded = worker_model(model, load)
         for batch in batches:
             yield pd.Series(loaded.encode(batch.tolist(), batch_size=batch_rows).astype(float).tolist())
 
@@ -99,4 +119,11 @@ def transformer(texts: DataFrame, text_col: str, model: str, batch_rows: int = 6
     return keyed.join(vectors, "_head").drop("_head")
 
 
+def embedded(texts: DataFrame, text_col: str, config: EngineConfig = DEFAULT, load: Callable[[str], object] = sentence_model) -> DataFrame:
+    """``texts`` with vectors of the provider that the configuration names: ``hashing``, or the path of a sentence model."""
+    if config.embedding_model_path in ("", "hashing"):
+        return texts.withColumn("embedding", hashing(F.col(text_col), config))
+    return transformer(texts, text_col, config.embedding_model_path, load=load)
+
+
 PROVIDERS = {"hashing": hashing, "tfidf": tfidf_similarity, "precomputed": precomputed, "transformer": transformer}

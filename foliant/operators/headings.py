@@ -146,17 +146,20 @@ def page_geometry(blocks: DataFrame) -> DataFrame:
     )
 
 
+def _thresholds() -> list[Column]:
+    """Title font, ladder of heading fonts and spatial tolerance from ``first_page`` and ``ladder``."""
+    title = F.coalesce("first_page", F.element_at("ladder", 1)) * 0.85
+    step = lambda n: F.coalesce(F.try_element_at("ladder", F.lit(n)), F.lit(10.0))
+    return [title.alias("title_font"), step(1).alias("h1_font"), step(2).alias("h2_font"), step(3).alias("h3_font"), (title * 2).alias("tolerance")]
+
+
 def adaptive_thresholds(blocks: DataFrame) -> DataFrame:
     """Per document: title font, ladder of heading fonts, spatial tolerance (this engine's own definition)."""
     sizes = blocks.groupBy("doc_id").agg(
         F.max(F.when(F.col("page_number") == 1, F.col("font_size"))).alias("first_page"),
         F.reverse(F.array_sort(F.collect_set("font_size"))).alias("ladder"),
     )
-    title = F.coalesce("first_page", F.element_at("ladder", 1)) * 0.85
-    step = lambda n: F.coalesce(F.try_element_at("ladder", F.lit(n)), F.lit(10.0))
-    return sizes.select(
-        "doc_id", title.alias("title_font"), step(1).alias("h1_font"), step(2).alias("h2_font"), step(3).alias("h3_font"), (title * 2).alias("tolerance")
-    )
+    return sizes.select("doc_id", *_thresholds())
 
 
 def font_statistics(blocks: DataFrame) -> DataFrame:
@@ -192,11 +195,32 @@ def isolated_blocks(blocks: DataFrame) -> DataFrame:
     )
 
 
+def measured_blocks(blocks: DataFrame, tolerance: float = 5.0) -> DataFrame:
+    """Blocks with all that the detectors look at: thresholds, geometry, isolation and alignment.
+
+    Everything is a window inside the document, so blocks are shuffled once.
+    ``n_aligned`` counts the blocks of the page whose left edge is closer than
+    the tolerance; a block is isolated if both neighbours by height are at least
+    one and a half font sizes away.
+    """
+    document, page = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "page_number")
+    size = F.col("font_size")
+    ladder = F.reverse(F.array_sort(F.collect_set(size).over(document)))
+    first_page = F.max(F.when(F.col("page_number") == 1, size)).over(document)
+    rows = blocks.withColumn("ladder", ladder).withColumn("first_page", first_page)
+    rows = rows.select("*", *_thresholds()).drop("ladder", "first_page")
+    by_height = page.orderBy("y", "block_no")
+    gap = lambda other: F.coalesce(F.abs(F.col("y") - other) >= size * 1.5, F.lit(True))
+    # Frames of fractional width exist in SQL text only; a negative bound lies before the row.
+    bound = lambda n: f"{abs(n)}D {'preceding' if n < 0 else 'following'}"
+    at = lambda low, high: F.expr(f"count(*) over (partition by doc_id, page_number order by x range between {bound(low)} and {bound(high)})")
+    rows = page_geometry(rows).withColumn("is_isolated", gap(F.lag("y").over(by_height)) & gap(F.lead("y").over(by_height)))
+    return rows.withColumn("n_aligned", at(-tolerance, tolerance) - at(-tolerance, -tolerance) - at(tolerance, tolerance))
+
+
 def heading_candidates(blocks: DataFrame) -> DataFrame:
     """Candidates of the font, position and pattern detectors with confidence in hundredths and ``src_ord``."""
-    rows = blocks.join(adaptive_thresholds(blocks), "doc_id")
-    rows = page_geometry(rows).join(isolated_blocks(blocks).drop("n_near"), ["doc_id", "block_no"]).join(aligned_neighbours(blocks), ["doc_id", "block_no"])
-    rows = rows.where(may_be_heading(F.col("text"))).withColumn("heading", stripped("text"))
+    rows = measured_blocks(blocks).where(may_be_heading(F.col("text"))).withColumn("heading", stripped("text"))
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     flags = F.col("font_flags")
     by_font = (
@@ -245,7 +269,7 @@ def distinct_candidates(candidates: DataFrame) -> DataFrame:
 
 def with_levels(headings: DataFrame) -> DataFrame:
     """Headings with level by number, word or place in the document's font ladder."""
-    sizes = headings.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set("font_size"))).alias("ladder"))
+    ladder = F.reverse(F.array_sort(F.collect_set("font_size").over(Window.partitionBy("doc_id"))))
     size, n = F.col("font_size"), F.size("ladder")
     top, second = F.element_at("ladder", 1), F.try_element_at("ladder", F.lit(2))
     level = (
@@ -255,7 +279,7 @@ def with_levels(headings: DataFrame) -> DataFrame:
         .when((n == 2) | (size >= second), "H2")
         .otherwise("H3")
     )
-    return headings.join(sizes, "doc_id").withColumn("level", level).drop("ladder")
+    return headings.withColumn("ladder", ladder).withColumn("level", level).drop("ladder")
 
 
 def detected_headings(blocks: DataFrame) -> DataFrame:
@@ -263,22 +287,10 @@ def detected_headings(blocks: DataFrame) -> DataFrame:
     return with_levels(distinct_candidates(heading_candidates(blocks))).where(final_heading(F.col("text")))
 
 
-def reconstructed_lines(blocks: DataFrame) -> DataFrame:
-    """Blocks on one line joined while gaps are small against the font: gaps and islands over (page, line)."""
-    line = F.bround(F.col("y") / 2) * 2
-    order = Window.partitionBy("doc_id", "page_number", "line").orderBy("x", "block_no")
-    rows = blocks.withColumn("line", line)
-    end, font = F.lag(F.col("x") + F.col("width")).over(order), F.lag("font_size").over(order)
-    widest = F.col("font_size") * F.when(F.col("font_size") > 15, 1.0).otherwise(0.8)
-    begins = end.isNull() | (F.col("x") - end >= widest) | (F.abs(F.col("font_size") - font) >= 5)
-    runs = rows.withColumn("run", F.sum(begins.cast("int")).over(order))
-    # No space before closing punctuation or behind an opening one.
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "block_no", "text"))), lambda b: b["text"]), " ")
-    mended = F.regexp_replace(F.regexp_replace(joined, r"\s+([.,;:!?)\]])", "$1"), r"([(\[])\s+", "$1")
-    return runs.groupBy("doc_id", "page_number", "line", "run").agg(
-        mended.alias("text"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"),
-        F.max("font_size").alias("font_size"), F.avg(F.col("x")).alias("mean_x"), F.count("*").alias("n_blocks"),
-    ).drop("run", "mean_x")
+def by_confidence(headings: DataFrame) -> DataFrame:
+    """Headings with their ``place`` in the document, the most confident first, then in reading order."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "page_number", "y", "block_no")
+    return headings.withColumn("place", F.row_number().over(order))
 
 
 # The strict variant.

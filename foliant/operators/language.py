@@ -62,22 +62,34 @@ def frequent_words(text: Column, language: str) -> Column:
     return F.size(F.filter(words(F.lower(F.substring(text, 1, 1000))), lambda w: w.isin(*FREQUENT[language])))
 
 
-def identified(text: Column, fallback: str = "en", least_share: float = 0.0) -> Column:
-    """The language with most frequent words in the text's beginning; short texts and ties at none give the fallback.
+#: Log odds, in tenths, that a frequent word of one language speaks for it against another.
+ODDS = 20
 
-    An approximation of statistical identification that needs no model.
+
+def probabilities(text: Column) -> Column:
+    """Array of (lang, prob) of all languages, likeliest first, from the frequent words in the text's beginning.
+
+    Every frequent word speaks for the languages that have it with the same
+    odds, so probabilities are those of a model of independent words; without
+    any such word all languages are equally likely.
     """
-    counts = F.array(*[F.struct(frequent_words(text, code).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("code")) for i, code in enumerate(FREQUENT)])
-    best = F.array_max(counts)
-    return F.when((F.length(text) < 50) | (best["n"] == 0), fallback).otherwise(best["code"])
+    counts = F.array(*[F.struct(frequent_words(text, code).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, code in enumerate(FREQUENT)])
+    ordered = F.reverse(F.array_sort(counts))
+    most = F.element_at(ordered, 1)["n"]
+    weights = F.transform(ordered, lambda c: F.exp((c["n"] - most) * (ODDS / 10)))
+    total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
+    return F.transform(F.arrays_zip(ordered.alias("c"), weights.alias("w")), lambda x: F.struct(x["c"]["lang"].alias("lang"), (x["w"] / total).alias("prob")))
+
+
+def identified(text: Column, fallback: str = "en", least: float = 0.8) -> Column:
+    """The likeliest language if its probability reaches the bound; short texts and doubtful ones give the fallback."""
+    best = F.element_at(probabilities(text), 1)
+    return F.when((F.length(stripped(text)) < 50) | (best["prob"] < least), fallback).otherwise(best["lang"])
 
 
-def shares(text: Column) -> Column:
-    """Array of (lang, prob) by frequent words with a share of at least 0.3; English alone where there is none."""
-    counts = [(code, frequent_words(text, code)) for code in FREQUENT]
-    total = sum((n for _, n in counts), F.lit(0))
-    every = F.array(*[F.struct(F.lit(code).alias("lang"), F.when(total > 0, n / total).otherwise(0.0).alias("prob")) for code, n in counts])
-    kept = F.filter(every, lambda x: x["prob"] >= 0.3)
+def shares(text: Column, least: float = 0.3) -> Column:
+    """Array of (lang, prob) of the languages with a probability of at least 0.3; English alone where there is none."""
+    kept = F.filter(probabilities(text), lambda x: x["prob"] >= least)
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("prob"))))
 
 

@@ -93,12 +93,15 @@ def structure_statistics(blocks: DataFrame) -> DataFrame:
     )
 
 
-def scanned_documents(blocks: DataFrame, least_per_page: float = 5, most_tiny: float = 0.5) -> DataFrame:
-    """(doc_id, is_scanned): few blocks a page, or mostly tiny ones."""
+def scanned_documents(blocks: DataFrame, least_per_page: float = 5, most_tiny: float = 0.5, documents: DataFrame | None = None) -> DataFrame:
+    """(doc_id, is_scanned): few blocks a page, or mostly tiny ones; of ``documents`` those without blocks are scanned too."""
     own = blocks.groupBy("doc_id").agg(
         (F.count("*") / F.max("page_number")).alias("per_page"), F.avg((F.length("text") < 3).cast("int")).alias("tiny")
     )
-    return own.select("doc_id", ((F.col("per_page") < least_per_page) | (F.col("tiny") > most_tiny)).alias("is_scanned"))
+    found = own.select("doc_id", ((F.col("per_page") < least_per_page) | (F.col("tiny") > most_tiny)).alias("is_scanned"))
+    if documents is None:
+        return found
+    return documents.select("doc_id").distinct().join(found, "doc_id", "left").withColumn("is_scanned", F.coalesce("is_scanned", F.lit(True)))
 
 
 def script_language(blocks: DataFrame, first: int = 50) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import count_of, hits, is_upper, stripped, word_count, words
 from foliant.operators.headings import any_of
+from foliant.sources.work import written
 
 # Word lists and patterns of titles and headings.
 NO_TITLE = (
@@ -308,7 +309,7 @@ def split_headings(headings: DataFrame) -> DataFrame:
 
 def outline_levels(headings: DataFrame) -> DataFrame:
     """Headings with level by number and name, else by the document's two largest fonts."""
-    sizes = headings.groupBy("doc_id").agg(F.reverse(F.array_sort(F.collect_set("font_size"))).alias("ladder"))
+    ladder = F.reverse(F.array_sort(F.collect_set("font_size").over(Window.partitionBy("doc_id"))))
     own, size = stripped("text"), F.col("font_size")
     second = F.try_element_at("ladder", F.lit(2))
     level = (
@@ -321,7 +322,7 @@ def outline_levels(headings: DataFrame) -> DataFrame:
         .when(size >= 12, "H2")
         .otherwise("H3")
     )
-    return headings.join(sizes, "doc_id").withColumn("level", level).drop("ladder")
+    return headings.withColumn("ladder", ladder).withColumn("level", level).drop("ladder")
 
 
 def outline_entries(headings: DataFrame) -> DataFrame:
@@ -342,6 +343,7 @@ def without_repeated_words(text: Column) -> Column:
 
 def build_outline(headings: DataFrame) -> DataFrame:
     """Outlines of documents (doc_id, title, outline) from detected headings; forms have an empty one."""
+    headings = written(headings, "headings")  # several branches read them
     titles = picked_titles(headings)
     kinds = event_documents(headings).join(titles.select("doc_id", "title"), "doc_id", "left").join(form_documents(headings, titles), "doc_id", "left")
     rows = headings.join(kinds, "doc_id").where(~F.coalesce("is_form", F.lit(False)))

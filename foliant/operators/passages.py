@@ -11,7 +11,7 @@ from foliant.config import DEFAULT, EngineConfig
 from foliant.functions.score import cosine, passage_bonus
 from foliant.functions.text import best_topic, contains_any, count_of, distinct_words, stripped, words
 from foliant.operators.embed import buckets, hashing, similarity
-from foliant.operators.ranking import first_per, passage_allowed, profile_text
+from foliant.operators.ranking import Profiles, dietary_filter_passages, first_per, passage_allowed, profile_text
 
 
 def flattened(text: Column) -> Column:
@@ -90,14 +90,28 @@ def is_recipe_section(title: Column, content: Column) -> Column:
 
 def recipe_context(sections: DataFrame, persona: str, job: str, keywords=C.RECIPE_KEYWORDS, config: EngineConfig = DEFAULT) -> DataFrame:
     """(collection, is_recipe): food in persona or job, and recipe words or titles in the sections."""
-    food = any(t in f"{job} {persona}".lower() for t in C.FOOD_CONTEXT)
+    sums = sections.groupBy("collection").agg(*_recipe_sums(keywords))
+    return sums.select("collection", _is_recipe(persona, job, config).alias("is_recipe"))
+
+
+def _recipe_sums(keywords, over=lambda c: c) -> list[Column]:
     own = words(F.lower("content"))
     with_word = F.size(F.filter(own, lambda w: w.rlike("|".join(keywords))))
-    sums = sections.groupBy("collection").agg(
-        F.sum(F.size(own)).alias("n"), F.sum(with_word).alias("hits"), F.sum(contains_any("title", C.RECIPE_SECTION_TITLES).cast("int")).alias("titles")
-    )
+    titles = contains_any("title", C.RECIPE_SECTION_TITLES).cast("int")
+    return [over(F.sum(c)).alias(name) for name, c in (("n", F.size(own)), ("hits", with_word), ("titles", titles))]
+
+
+def _is_recipe(persona: str, job: str, config: EngineConfig) -> Column:
+    food = any(t in f"{job} {persona}".lower() for t in C.FOOD_CONTEXT)
     share = F.when(F.col("n") > 0, F.col("hits") / F.col("n")).otherwise(0.0)
-    return sums.select("collection", (F.lit(food) & ((share >= config.recipe_ratio) | (F.col("titles") >= 2))).alias("is_recipe"))
+    return F.lit(food) & ((share >= config.recipe_ratio) | (F.col("titles") >= 2))
+
+
+def with_recipe_context(sections: DataFrame, persona: str, job: str, keywords=C.RECIPE_KEYWORDS, config: EngineConfig = DEFAULT) -> DataFrame:
+    """``sections`` with ``is_recipe`` of their collection, by a window."""
+    whole = Window.partitionBy("collection")
+    summed = sections.select("*", *_recipe_sums(keywords, lambda c: c.over(whole)))
+    return summed.withColumn("is_recipe", _is_recipe(persona, job, config)).drop("n", "hits", "titles")
 
 
 def well_shaped(passage: Column, config: EngineConfig = DEFAULT) -> Column:
@@ -122,25 +136,30 @@ def of_quality(passage: Column, is_recipe: bool = False, value_terms=None, confi
 def without_near_duplicates(rows: DataFrame, group: list[str], order: str, vector: str, threshold: float = DEFAULT.duplicate_threshold) -> DataFrame:
     """Per group, greedily in order: a row whose vector is similar to one kept before goes.
 
-    A group is a section, so the sorted list folded here is short.
+    A group is a section, so the sorted list folded here is short; its rows
+    travel in the list and are read once.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"))
-    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    others = [c for c in rows.columns if c not in group]
+    item = F.struct(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v"), F.struct(*others).alias("row"))
+    listed = rows.groupBy(*group).agg(F.array_sort(F.collect_list(item), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("items"))
     none = F.slice("items", 1, 0)
     kept = F.aggregate(
         "items",
         none,
         lambda kept, x: F.when(F.exists(kept, lambda k: cosine(k["v"], x["v"]) >= threshold), kept).otherwise(F.concat(kept, F.array(x))),
     )
-    chosen = listed.select(*group, F.explode(F.transform(kept, lambda x: x["o"])).alias(order))
-    return rows.join(chosen, [*group, order], "left_semi")
+    return listed.select(*group, F.explode(F.transform(kept, lambda x: x["row"])).alias("row")).select(*group, "row.*").select(*rows.columns)
 
 
-def scored_passages(passages: DataFrame, persona: str, job: str, is_recipe: bool = False, config: EngineConfig = DEFAULT) -> DataFrame:
+def scored_passages(
+    passages: DataFrame, persona: str, job: str, is_recipe: bool | Column = False, config: EngineConfig = DEFAULT, profiles: Profiles = (None, None)
+) -> DataFrame:
     passages = passages.withColumn("buckets", buckets(F.col("passage"), config))
     similar = lambda text: similarity(F.col("buckets"), text, config)
-    base = similar(profile_text("role", persona)) * config.passage_persona_weight + similar(profile_text("task", job)) * config.passage_job_weight
-    with_parts = passages.withColumn("base_similarity", base).withColumn("quality_bonus", passage_bonus(F.col("passage"), is_recipe, config))
+    base = similar(profile_text("role", persona, profiles[0])) * config.passage_persona_weight + similar(profile_text("task", job, profiles[1])) * config.passage_job_weight
+    bonus = lambda kind: passage_bonus(F.col("passage"), kind, config)
+    own = bonus(is_recipe) if isinstance(is_recipe, bool) else F.when(is_recipe, bonus(True)).otherwise(bonus(False))
+    with_parts = passages.withColumn("base_similarity", base).withColumn("quality_bonus", own)
     return with_parts.withColumn("score", F.round(F.col("base_similarity") + F.col("quality_bonus"), 9)).drop("buckets")
 
 
@@ -152,24 +171,20 @@ def best_passages(passages: DataFrame, config: EngineConfig = DEFAULT) -> DataFr
     return top.withColumn("passage_rank", F.row_number().over(order)).where(F.col("passage_rank") <= config.passages_per_collection)
 
 
-def passages_of(ranked_sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Passages of the first ranked sections: split, shaped, deduplicated, filtered, scored, best."""
-    first = ranked_sections.where(F.col("importance_rank") <= config.passage_sections)
-    context = recipe_context(first, persona, job, config=config)
-    with_context = first.join(context, "collection")
+def passages_of(ranked_sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT, profiles: Profiles = (None, None)) -> DataFrame:
+    """Passages of the first ranked sections: filtered, split, shaped, deduplicated, filtered, scored, best."""
+    first = dietary_filter_passages(ranked_sections.where(F.col("importance_rank") <= config.passage_sections), job)
+    with_context = with_recipe_context(first, persona, job, config=config)
     as_recipe = F.col("is_recipe") & is_recipe_section(F.col("title"), F.col("content"))
     whole = recipe_passage(F.col("title"), F.col("content"), config=config)
     split = F.when(as_recipe, F.filter(F.array(whole), lambda p: p.isNotNull())).otherwise(semantic_passages(F.col("title"), F.col("content")))
     rows = with_context.select("*", F.posexplode(split).alias("passage_no", "passage")).where(well_shaped(F.col("passage"), config))
     rows = rows.withColumn("passage_embedding", hashing(F.col("passage"), config))
     rows = without_near_duplicates(rows, ["collection", "importance_rank"], "passage_no", "passage_embedding", config.duplicate_threshold)
-    rows = rows.where(passage_allowed(F.col("passage"), job))
-    kinds = [
-        scored_passages(rows.where(F.col("is_recipe") == kind).where(of_quality(F.col("passage"), kind, None, config)), persona, job, kind, config)
-        for kind in ((False, True) if any(t in f"{job} {persona}".lower() for t in C.FOOD_CONTEXT) else (False,))
-    ]
-    union = kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
-    return best_passages(union, config)
+    good = lambda kind: of_quality(F.col("passage"), kind, None, config)
+    kind: bool | Column = F.col("is_recipe") if any(t in f"{job} {persona}".lower() for t in C.FOOD_CONTEXT) else False
+    rows = rows.where(passage_allowed(F.col("passage"), job) & (good(False) if kind is False else F.when(kind, good(True)).otherwise(good(False))))
+    return best_passages(scored_passages(rows, persona, job, kind, config, profiles), config)
 
 
 # Sentences and topics.
@@ -197,7 +212,7 @@ def split_sentences(rows: DataFrame, text_col: str) -> DataFrame:
 
 
 def grouped_sentences(listed: Column, config: EngineConfig = DEFAULT, topics=None) -> Column:
-    """Array of passages: sentences joined until long enough, or until the topic changes in a long one."""
+    """Array of passages: sentences joined until long enough, until the topic changes in a long one, or before they get too long."""
     topics = topics or C.SENTENCE_TOPICS
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), none.alias("open"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("topic"))
@@ -205,7 +220,8 @@ def grouped_sentences(listed: Column, config: EngineConfig = DEFAULT, topics=Non
     def step(state: Column, sentence: Column) -> Column:
         topic = best_topic(sentence, topics)
         turns = state["topic"].isNotNull() & topic.isNotNull() & (topic != state["topic"]) & (state["n"] > 200)
-        ends = ((state["n"] > config.target_passage_length) | turns) & (F.size(state["open"]) > 0)
+        over = state["n"] + F.length(sentence) > config.max_passage_length
+        ends = ((state["n"] > config.target_passage_length) | turns | over) & (F.size(state["open"]) > 0)
         return F.when(
             ends,
             F.struct(

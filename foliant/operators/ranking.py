@@ -55,12 +55,16 @@ def distinct_collection_titles(sections: DataFrame) -> DataFrame:
     return first_per(sections.withColumn("_t", F.concat_ws("\u0001", F.col("collection").cast("string"), F.lower(stripped("title")))), "_t", INPUT_ORDER, 1).drop("_t")
 
 
-def scored(sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
+#: Descriptions of persona and job, or None.
+Profiles = tuple[str | None, str | None]
+
+
+def scored(sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT, profiles: Profiles = (None, None)) -> DataFrame:
     """Sections with base similarity, quality, penalty, boost and score."""
     title, content = F.col("title"), F.col("content")
     sections = sections.withColumn("buckets", buckets(F.concat_ws(" ", "title", "content"), config))
     similar = lambda text: similarity(F.col("buckets"), text, config)
-    base = similar(profile_text("role", persona)) * config.persona_weight + similar(profile_text("task", job)) * config.job_weight
+    base = similar(profile_text("role", persona, profiles[0])) * config.persona_weight + similar(profile_text("task", job, profiles[1])) * config.job_weight
     parts = sections.select(
         *[c for c in sections.columns if c != "buckets"],
         base.alias("base_similarity"),
@@ -77,9 +81,9 @@ def capped(sections: DataFrame, persona: str, job: str, config: EngineConfig = D
     return first_per(dietary_filter(first, persona, job, config), "collection", INPUT_ORDER, config.ranked_sections)
 
 
-def ranked(sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
+def ranked(sections: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT, profiles: Profiles = (None, None)) -> DataFrame:
     """Ranked sections of each collection with ``importance_rank``."""
-    kept = scored(distinct_collection_titles(capped(sections, persona, job, config)), persona, job, config)
+    kept = scored(distinct_collection_titles(capped(sections, persona, job, config)), persona, job, config, profiles)
     order = Window.partitionBy("collection").orderBy(F.desc("score"), *INPUT_ORDER)
     return kept.withColumn("importance_rank", F.row_number().over(order))
 

@@ -32,10 +32,13 @@ def recipe_documents(blocks: DataFrame, keywords=C.RECIPE_KEYWORDS, ratio: float
     return blocks.groupBy("doc_id").agg((share >= ratio).alias("is_recipe"))
 
 
-def page_sections(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Sections from pages: the first long block is the title, the next four the content."""
+def page_sections(blocks: DataFrame, config: EngineConfig = DEFAULT, *carried: str) -> DataFrame:
+    """Sections from pages: the first long block is the title, the next four the content.
+
+    ``carried`` columns are the same in all blocks of a document and stay.
+    """
     texts = F.transform(F.array_sort(F.collect_list(F.struct("y", "block_no", "text"))), lambda b: b["text"])
-    pages = blocks.where(F.length("text") > 10).groupBy("doc_id", "page_number").agg(texts.alias("texts"))
+    pages = blocks.where(F.length("text") > 10).groupBy("doc_id", "page_number").agg(texts.alias("texts"), *[F.first(c).alias(c) for c in carried])
     order = Window.partitionBy("doc_id").orderBy("page_number")
     numbered = pages.withColumn("importance_rank", F.row_number().over(order)).where(F.col("importance_rank") <= config.fallback_sections)
     return numbered.select(
@@ -44,6 +47,7 @@ def page_sections(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFram
         "importance_rank",
         cut_with_dots(F.element_at("texts", 1), 80).alias("title"),
         cut_with_dots(F.array_join(F.slice("texts", 2, 4), " "), 400).alias("content"),
+        *carried,
     )
 
 
@@ -93,19 +97,21 @@ def assemble_sections(texts: list[str], flags: list[int], config: EngineConfig =
     return found
 
 
-def heading_sections(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Sections under bold headings, before titles are filtered."""
+def heading_sections(blocks: DataFrame, config: EngineConfig = DEFAULT, *carried: str) -> DataFrame:
+    """Sections under bold headings, before titles are filtered; ``carried`` columns are the same in a document and stay."""
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in carried)
+    names = [*(c.split()[0] for c in SECTION_SCHEMA.split(", ")), *carried]
 
     def fold(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["page_number", "y", "block_no"], kind="stable").reset_index(drop=True)
         rows = [
-            (own.doc_id[0], n, title, own.page_number[i], own.x[i], own.y[i], own.font_size[i], "\n".join(content), n + 1)
+            (own.doc_id[0], n, title, own.page_number[i], own.x[i], own.y[i], own.font_size[i], "\n".join(content), n + 1, *(own[c][0] for c in carried))
             for n, (i, title, content) in enumerate(assemble_sections(own.text.tolist(), own.font_flags.tolist(), config))
         ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SECTION_SCHEMA.split(", ")])
+        return pd.DataFrame(rows, columns=names)
 
-    wanted = blocks.select("doc_id", "block_no", "page_number", "x", "y", "font_size", "font_flags", stripped("text").alias("text"))
-    return wanted.groupBy("doc_id").applyInPandas(fold, SECTION_SCHEMA)
+    wanted = blocks.select("doc_id", "block_no", "page_number", "x", "y", "font_size", "font_flags", stripped("text").alias("text"), *carried)
+    return wanted.groupBy("doc_id").applyInPandas(fold, ", ".join(filter(None, (SECTION_SCHEMA, kinds))))
 
 
 def distinct_titles(sections: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -122,15 +128,20 @@ def distinct_titles(sections: DataFrame, config: EngineConfig = DEFAULT) -> Data
     return kept.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= config.sections_per_document).drop("rn")
 
 
-def standard_sections(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    """Sections under headings; documents without any get their pages."""
-    headed = distinct_titles(heading_sections(blocks, config), config)
-    rest = blocks.join(headed.select("doc_id").distinct(), "doc_id", "left_anti")
-    pages = page_sections(rest, config).select(
+def standard_sections(blocks: DataFrame, config: EngineConfig = DEFAULT, *carried: str) -> DataFrame:
+    """Sections under headings; documents without any get their pages.
+
+    Both kinds are made for every document in one pass each, and a window tells
+    which one stays, so the fold runs once and documents are not joined.
+    """
+    headed = distinct_titles(heading_sections(blocks, config, *carried), config)
+    pages = page_sections(blocks, config, *carried).select(
         "doc_id", (F.col("importance_rank") - 1).alias("section_no"), "title", "page_number", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"),
-        F.lit(12.0).alias("font_size"), "content", "importance_rank",
+        F.lit(12.0).alias("font_size"), "content", "importance_rank", *carried,
     )
-    return headed.unionByName(pages)
+    both = headed.withColumn("_headed", F.lit(True)).unionByName(pages.withColumn("_headed", F.lit(False)))
+    any_headed = F.max("_headed").over(Window.partitionBy("doc_id"))
+    return both.withColumn("_any", any_headed).where(F.col("_headed") == F.col("_any")).drop("_headed", "_any")
 
 
 def recipe_title(ingredients: Column, number: Column) -> Column:

@@ -224,7 +224,19 @@ def document_kind_vote(s, d):
     return segments.document_kinds(blocks(s, d), kinds=_KINDS)
 
 
-query("document_type_vote")(lambda s, d: segments.document_kinds(blocks(s, d)))
+_TYPES = segments.DOCUMENT_KINDS
+
+
+@query(
+    "document_type_vote",
+    f"""WITH {S.BLOCKS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS rn FROM blocks),
+        w AS (SELECT doc_id, string_agg(lower(text), ' ' ORDER BY block_no) AS whole FROM n WHERE rn <= 20 GROUP BY doc_id),
+        v AS (SELECT doc_id, [{", ".join("(" + " + ".join(f"{S.rlike('whole', p)}::INT" for p in ps) + ")" for ps in _TYPES.values())}] AS votes FROM w)
+        SELECT doc_id, CASE WHEN list_max(votes) > 0 THEN [{", ".join(map(S.lit, _TYPES))}][list_position(votes, list_max(votes))] ELSE 'unknown' END AS kind,
+          list_max(votes) AS votes FROM v""",
+)
+def document_type_vote(s, d):
+    return segments.document_kinds(blocks(s, d))
 
 
 @query(

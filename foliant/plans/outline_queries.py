@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliant import runtime
+from foliant.operators import fragments as FR
 from foliant.operators import headings as H
 from foliant.operators import language as L
 from foliant.operators import outline as O
+from foliant.operators import titles as T
 from foliant.plans import sql as S
-from foliant.plans.layout_queries import blocks, page_blocks, read
+from foliant.plans.layout_queries import blocks, read
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -170,7 +174,140 @@ def heading_levels(s, d):
     return detected(s, d).select("doc_id", "block_no", "text", "level")
 
 
-query("reconstructed_lines")(lambda s, d: H.reconstructed_lines(page_blocks(s, d)))
+def scattered(own):
+    """Blocks as words of lines: six of a document on one line, side by side, in fonts of two sizes."""
+    k, n = F.col("block_no"), F.length("text")
+    return own.withColumns(
+        {"x": (k % 6) * 40.0, "y": F.floor(k / 6) * 20.0, "width": F.lit(38.0), "font_size": F.when(k % 12 < 8, 16.0).otherwise(11.0),
+         "text": F.when(k % 5 == 0, F.substring("text", 1, 1)).when(k % 5 < 3, F.substring("text", 1, 12)).otherwise(F.substring("text", 1, 40)), "page_number": F.lit(1)}
+    )
+
+
+_SCATTERED = S.BLOCKS.replace("blocks AS (", "unscattered AS (") + f""", blocks AS (SELECT * REPLACE ((block_no % 6) * 40.0::DOUBLE AS x, (block_no // 6) * 20.0::DOUBLE AS y, 38.0::DOUBLE AS width,
+    CASE WHEN block_no % 12 < 8 THEN 16.0::DOUBLE ELSE 11.0::DOUBLE END AS font_size, 1 AS page_number,
+    CASE WHEN block_no % 5 = 0 THEN substr(text, 1, 1) WHEN block_no % 5 < 3 THEN substr(text, 1, 12) ELSE substr(text, 1, 40) END AS text) FROM unscattered)"""
+
+
+def _heading_text(t: str) -> str:
+    own = S.stripped(t)
+    listed = S.words(own)
+    return f"""(length({own}) BETWEEN 5 AND 100 AND len({listed}) <= 8 AND (len(list_filter({listed}, lambda w: regexp_matches(w, '^\\p{{Lu}}'))) >= len({listed}) * 0.6
+    OR ({S.is_upper(own)} AND len({listed}) <= 5) OR len(list_filter({listed}, lambda w: lower(w) IN ({", ".join(map(S.lit, FR.HEADING_WORDS))}))) > 0))"""
+
+
+@query("fragment_heading_texts", f"WITH {_SCATTERED} SELECT doc_id, block_no, {_heading_text('text')} AS is_heading_text FROM blocks")
+def fragment_heading_texts(s, d):
+    return scattered(blocks(s, d)).select("doc_id", "block_no", FR.heading_text(F.col("text")).alias("is_heading_text"))
+
+
+@query(
+    "fragment_gaps",
+    f"""WITH {_SCATTERED}, l AS (SELECT doc_id, page_number, round_even(y / 2, 0) * 2 AS line, abs(x - lag(x + width) OVER (PARTITION BY doc_id, page_number, round_even(y / 2, 0) ORDER BY x, block_no)) AS gap FROM blocks)
+  SELECT doc_id, page_number, line, count(*) AS n_blocks, round(coalesce(avg(gap), 0), 6) AS mean_gap FROM l GROUP BY ALL""",
+)
+def fragment_gaps(s, d):
+    return FR.line_gaps(scattered(blocks(s, d))).withColumn("mean_gap", F.round("mean_gap", 6))
+
+
+def _sign(condition: str) -> str:
+    return f"coalesce(({condition})::INT, 0)"
+
+
+_A, _B = S.stripped("text"), S.stripped("next_text")
+_STATEMENT = f"regexp_matches(a, '[!?:]$') AND regexp_matches(b, '^\\p{{Lu}}') AND {S.n_words('b')} > 3"
+_PARTS = f"""(NOT (regexp_matches(b, '^\\p{{Lu}}') AND ends_with(a, '.')) AND NOT ({_STATEMENT}) AND (
+  {_sign(f"({S.is_title('a')} OR {S.is_upper('a')}) AND ({S.is_title('b')} OR {S.is_upper('b')})")} + {_sign(" OR ".join(f"ends_with(a, {S.lit(e)})" for e in FR.OPEN_ENDS))}
+  + {_sign(f"lower({S.words('b')}[1]) IN ({', '.join(map(S.lit, FR.CONTINUING_WORDS))})")} + {_sign(f"{S.n_words('a')} <= 4 AND {S.n_words('b')} <= 4")}
+  + {_sign("NOT regexp_matches(a, '(?s)[.].') AND NOT regexp_matches(b, '(?s)[.].')")}) >= 2)"""
+
+
+@query(
+    "fragment_neighbours",
+    f"""WITH {_SCATTERED}, n AS (SELECT *, lead(text) OVER o AS next_text, lead(x) OVER o AS nx, lead(y) OVER o AS ny, lead(font_size) OVER o AS nf
+    FROM blocks WINDOW o AS (PARTITION BY doc_id, page_number ORDER BY y DESC, x, block_no)),
+  t AS (SELECT *, {_A} AS a, {_B} AS b FROM n)
+  SELECT doc_id, block_no, coalesce(length(a) <= 100 AND length(b) <= 100 AND abs(font_size - nf) <= greatest(2, font_size * 0.15) AND
+    CASE WHEN abs(y - ny) <= font_size * 0.3 THEN abs(nx - (x + length(a) * font_size * 0.6)) <= font_size * 1.5
+      WHEN abs(y - ny) <= font_size * 2 THEN (abs(x - nx) <= font_size)::INT + (length(a) <= 50 AND length(b) <= 50)::INT + (font_size >= 12 AND nf >= 12)::INT + {_sign(_PARTS)} >= 2
+      ELSE false END, false) AS merges FROM t""",
+)
+def fragment_neighbours(s, d):
+    return FR.neighbour_merges(scattered(blocks(s, d)))
+
+
+_PLACED = ("doc_id", "block_no", "page_number", "text", "n_merged")
+
+
+@query("reconstructed_lines")
+def reconstructed_lines(s, d):
+    return FR.reconstructed_lines(scattered(blocks(s, d))).select(*_PLACED)
+
+
+query("fragment_groups")(lambda s, d: FR.grouped_fragments(scattered(blocks(s, d))).select(*_PLACED))
+query("strict_reconstruction")(lambda s, d: FR.reconstructed_text(blocks(s, d)).select(*_PLACED))
+
+
+@query(
+    "mended_texts",
+    f"""WITH {S.BLOCKS}, m AS (SELECT doc_id, block_no, {S.stripped("regexp_replace(replace(replace(text, 'e', ' ,  '), 'a', '(  '), '[ ]+', ' ', 'g')")} AS t FROM blocks)
+  SELECT doc_id, block_no, regexp_replace(regexp_replace(t, '\\s+([,.!?:;)\\]}}])', '\\1', 'g'), '([(\\[{{])\\s+', '\\1', 'g') AS text FROM m""",
+)
+def mended_texts(s, d):
+    text = F.replace(F.replace("text", F.lit("e"), F.lit(" ,  ")), F.lit("a"), F.lit("(  "))
+    return blocks(s, d).select("doc_id", "block_no", FR.mended_text(text).alias("text"))
+
+
+@query(
+    "heading_order",
+    f"""WITH {_SHIFTED} SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y DESC, x, block_no) AS upwards,
+  row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, x, block_no) AS downwards FROM blocks""",
+)
+def heading_order(s, d):
+    place = lambda up: F.row_number().over(Window.partitionBy("doc_id").orderBy(*FR.heading_order(up)))
+    return shifted(blocks(s, d)).select("doc_id", "block_no", place(True).alias("upwards"), place(False).alias("downwards"))
+
+
+@query(
+    "headings_by_confidence",
+    f"""WITH {_SHIFTED}{_DISTINCT} SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, page_number, y, block_no) AS place FROM fin""",
+)
+def headings_by_confidence(s, d):
+    return H.by_confidence(detected(s, d)).select("doc_id", "block_no", "place")
+
+
+@query(
+    "block_pages",
+    f"WITH {S.BLOCKS} SELECT doc_id, block_no, coalesce(CASE WHEN block_no % 3 = 0 THEN NULL ELSE page_number END, CASE WHEN block_no % 2 = 0 THEN block_no END, 1) AS page FROM blocks",
+)
+def block_pages(s, d):
+    k = F.col("block_no")
+    own = blocks(s, d).withColumn("page_number", F.when(k % 3 != 0, F.col("page_number"))).withColumn("page", F.when(k % 2 == 0, k))
+    return own.select("doc_id", "block_no", FR.page_of(own).alias("page"))
+
+
+query("reconstructed_titles")(lambda s, d: T.reconstructed_titles(blocks(s, d)))
+
+
+@query(
+    "cache_eviction",
+    """WITH u AS (SELECT source || '-' || (doc_id % 400) AS key, max(doc_id) AS used_at FROM documents GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY used_at DESC, key) AS rn FROM u)
+  SELECT key, used_at, rn <= 100 AS stays FROM r""",
+)
+def cache_eviction(s, d):
+    uses = read(s, d, "documents").select(F.concat_ws("-", "source", (F.col("doc_id") % 400).cast("string")).alias("key"), F.col("doc_id").alias("used_at"))
+    return runtime.evicted(uses, 100)
+
+
+@query(
+    "benchmark_status",
+    """WITH t AS (SELECT source AS run, lang AS stage, sum(n_chars / 100000.0) AS seconds FROM documents GROUP BY ALL), r AS (SELECT *, sum(seconds) OVER (PARTITION BY run) AS total FROM t)
+  SELECT run, stage, round(seconds, 6) AS seconds, round(CASE WHEN total > 0 THEN 100 * seconds / total ELSE 0 END, 6) AS percent, round(total, 6) AS total,
+    CASE WHEN total <= 5 THEN 'pass' ELSE 'fail' END AS status FROM r""",
+)
+def benchmark_status(s, d):
+    own = read(s, d, "documents").select(F.col("source").alias("run"), F.col("lang").alias("stage"), (F.col("n_chars") / F.lit(100000.0)).alias("seconds"))
+    return runtime.stage_shares(own, 5.0).withColumns({c: F.round(c, 6) for c in ("seconds", "percent", "total")})
+
 
 _LOWT = f"lower({TEXT})"
 _TITLE_OK = f"""length(text) BETWEEN 5 AND 100 AND NOT {S.rlike('text', _any(O.NO_TITLE))} AND NOT {S.rlike('text', '^[-=_*+.]{3,}$')}
@@ -344,16 +481,27 @@ def _frequent(code: str) -> str:
     return f"len(list_filter({S.words('lower(substr(text, 1, 1000))')}, lambda w: w IN ({', '.join(map(S.lit, L.FREQUENT[code]))})))"
 
 
-@query(
-    "language_vote",
-    f"""WITH c AS (SELECT doc_id, text, [{", ".join(_frequent(c) for c in L.FREQUENT)}] AS n FROM documents)
-  SELECT doc_id, CASE WHEN length(text) < 50 OR list_max(n) = 0 THEN 'en' ELSE [{", ".join(map(S.lit, L.FREQUENT))}][list_position(n, list_max(n))] END AS language FROM c""",
-)
+_COUNTS = "[" + ", ".join(f"{{'n': {_frequent(c)}, 'o': {-i}, 'lang': {S.lit(c)}}}" for i, c in enumerate(L.FREQUENT)) + "]"
+_PROBABLE = f"""c AS (SELECT *, list_reverse_sort({_COUNTS}) AS ordered FROM texts),
+  w AS (SELECT *, list_transform(ordered, lambda x: exp((x.n - ordered[1].n) * {L.ODDS / 10})) AS weight FROM c),
+  p AS (SELECT *, list_transform(range(1, len(ordered) + 1), lambda i: {{'lang': ordered[i].lang, 'prob': weight[i] / list_sum(weight)}}) AS probs FROM w)"""
+_IDENTIFIED = f"CASE WHEN length({S.stripped('text')}) < 50 OR probs[1].prob < 0.8 THEN 'en' ELSE probs[1].lang END"
+
+
+@query("language_vote", f"WITH texts AS (SELECT doc_id, text FROM documents), {_PROBABLE} SELECT doc_id, {_IDENTIFIED} AS language FROM p")
 def language_vote(s, d):
     return read(s, d, "documents").select("doc_id", L.identified(F.col("text")).alias("language"))
 
 
-query("language_shares")(lambda s, d: read(s, d, "documents").select("doc_id", L.shares(F.col("text")).alias("shares")))
+@query(
+    "language_shares",
+    f"""WITH texts AS (SELECT doc_id, text FROM documents), {_PROBABLE}, k AS (SELECT doc_id, unnest(list_filter(probs, lambda x: x.prob >= 0.3)) AS x FROM p)
+  SELECT doc_id, x.lang AS lang, round(x.prob, 6) AS prob FROM k UNION ALL SELECT doc_id, 'en', 1.0 FROM p WHERE len(list_filter(probs, lambda x: x.prob >= 0.3)) = 0""",
+)
+def language_shares(s, d):
+    own = read(s, d, "documents").select("doc_id", F.explode(L.shares(F.col("text"))).alias("x"))
+    return own.select("doc_id", "x.lang", F.round("x.prob", 6).alias("prob"))
+
 
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -377,8 +525,8 @@ query("language_composed")(lambda s, d: read(s, d, "documents").select("doc_id",
     "multilingual_documents",
     f"""WITH {S.BLOCKS}, n AS (SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM blocks),
   f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n WHERE i % greatest(n // 10, 1) = 0 AND length(text) > 50),
-  c AS (SELECT doc_id, [{", ".join(_frequent(c) for c in L.FREQUENT)}] AS v FROM f WHERE k <= 10),
-  l AS (SELECT doc_id, count(DISTINCT CASE WHEN list_max(v) = 0 THEN 'en' ELSE [{", ".join(map(S.lit, L.FREQUENT))}][list_position(v, list_max(v))] END) AS m FROM c GROUP BY doc_id)
+  texts AS (SELECT doc_id, text FROM f WHERE k <= 10), {_PROBABLE},
+  l AS (SELECT doc_id, count(DISTINCT {_IDENTIFIED}) AS m FROM p GROUP BY doc_id)
   SELECT doc_id, any_value(n) >= 5 AND coalesce(any_value(m), 0) > 1 AS is_multilingual FROM n LEFT JOIN l USING (doc_id) GROUP BY doc_id""",
 )
 def multilingual_documents(s, d):

@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from foliant.config import DEFAULT, EngineConfig
 from foliant.operators import output, passages, ranking, sections
+from foliant.sources.work import written
 
 
 def page_sections_of(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """Page sections as (collection, doc_ord, section_no, document, ...) rows; the source is the collection."""
-    found = sections.page_sections(blocks.drop("source"), config)
-    sources = blocks.select("doc_id", "source").distinct()
-    return _as_input(found.withColumn("section_no", F.col("importance_rank") - 1).join(sources, "doc_id"))
+    return _as_input(sections.page_sections(blocks, config, "source").withColumn("section_no", F.col("importance_rank") - 1))
 
 
 def standard_sections_of(blocks: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
-    sources = blocks.select("doc_id", "source").distinct()
-    return _as_input(sections.standard_sections(blocks.drop("source"), config).join(sources, "doc_id"))
+    return _as_input(sections.standard_sections(blocks, config, "source"))
 
 
 def _as_input(found: DataFrame) -> DataFrame:
@@ -33,10 +31,19 @@ def _as_input(found: DataFrame) -> DataFrame:
     )
 
 
-def run(blocks: DataFrame, persona: str, job: str, config: EngineConfig = DEFAULT) -> DataFrame:
-    """One nested result per collection."""
-    ranked = ranking.ranked(standard_sections_of(blocks, config), persona, job, config)
-    best = passages.passages_of(ranked, persona, job, config)
+def run(
+    blocks: DataFrame,
+    persona: str,
+    job: str,
+    config: EngineConfig = DEFAULT,
+    persona_description: str | None = None,
+    job_description: str | None = None,
+) -> DataFrame:
+    """One nested result per collection; descriptions, where given, are what the profiles embed."""
+    profiles = (persona_description, job_description)
+    # At most config.ranked_sections rows a collection, read by the passages and by the output.
+    ranked = written(ranking.ranked(standard_sections_of(blocks, config), persona, job, config, profiles), "ranked-sections")
+    best = passages.passages_of(ranked, persona, job, config, profiles)
     collections = blocks.groupBy(F.col("source").alias("collection")).agg(
         F.array_sort(F.collect_set(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))).alias("input_documents")
     )

@@ -11,6 +11,7 @@ from foliant import config as C
 from foliant.functions import score as scores
 from foliant.functions.text import distinct_words
 from foliant.operators import embed, output, passages, ranking
+from foliant.operators.vectors import nearest
 from foliant.plans import sql as S
 from foliant.plans.layout_queries import DEMO_TERMS, blocks, read
 from foliant.plans.pipeline import page_sections_of, run
@@ -169,16 +170,8 @@ for _name, _sql, _column in (
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""",
 )
 def cosine_topk(s, d):
-    """Queries are the rows whose id is divisible by 100; blocks of them meet every row by an equi-join."""
-    own = read(s, d, "embeddings").select("vec_id", "embedding")
-    asked = own.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    blocks_of_queries = max(1, -(-asked.count() // 1000))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks_of_queries)))
-    rows = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_of_queries - 1).cast("long"))))
-    pairs = rows.join(asked, "block").where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", F.round(scores.cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank <= 5")
+    """Queries are the rows whose id is divisible by 100."""
+    return nearest(read(s, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, 5)
 
 
 @query(
@@ -323,10 +316,22 @@ def global_topk(s, d):
     return _rounded(passages.best_passages(demo_scored(s, d)).select(*KEYS, "passage_no", "passage_rank", "score"), "score")
 
 
-@query("near_dup_passages")
+#: A section of the query below: a hundred consecutive rows of one label.
+_PART = "CAST(floor(vec_id / 100) AS BIGINT)"
+
+
+@query(
+    "near_dup_passages",
+    f"""WITH RECURSIVE e AS (SELECT vec_id, label, {_PART} AS part, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  o AS (SELECT *, row_number() OVER (PARTITION BY label, part ORDER BY vec_id) AS n FROM e),
+  f AS (SELECT label, part, n, [v] AS kept, vec_id, true AS stays FROM o WHERE n = 1
+    UNION ALL SELECT o.label, o.part, o.n, CASE WHEN len(list_filter(f.kept, lambda k: list_cosine_similarity(k, o.v) >= 0.3)) > 0 THEN f.kept ELSE list_append(f.kept, o.v) END,
+      o.vec_id, len(list_filter(f.kept, lambda k: list_cosine_similarity(k, o.v) >= 0.3)) = 0 FROM f JOIN o ON o.label = f.label AND o.part = f.part AND o.n = f.n + 1)
+  SELECT label, vec_id FROM f WHERE stays""",
+)
 def near_dup_passages(s, d):
-    own = read(s, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return passages.without_near_duplicates(own, ["label"], "vec_id", "v", 0.3).select("label", "vec_id")
+    own = read(s, d, "embeddings").select("vec_id", "label", F.expr(_PART).alias("part"), F.col("embedding").cast("array<double>").alias("v"))
+    return passages.without_near_duplicates(own, ["label", "part"], "vec_id", "v", 0.3).select("label", "vec_id")
 
 
 _RECIPE_FLAT = S.stripped("replace(replace(content, chr(10), ' '), '  ', ' ')")
@@ -363,7 +368,21 @@ def recipe_context(s, d):
 query("sentence_split")(lambda s, d: passages.split_sentences(read(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", "sentence_no", "sentence"))
 
 
-@query("sentence_groups")
+_BEST_OF_SENTENCE = "[" + ", ".join(S.hits("t", t) for t in DEMO_TOPICS.values()) + "]"
+_TURNS = "f.topic IS NOT NULL AND o.topic IS NOT NULL AND o.topic <> f.topic AND f.n > 200"
+_ENDS = f"(f.n > 300 OR ({_TURNS}) OR f.n + length(o.t) > 600)"
+
+
+@query(
+    "sentence_groups",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda t: t <> '') AS ts FROM documents),
+  u AS (SELECT doc_id, unnest(ts) AS t, unnest(range(1, len(ts) + 1)) AS k FROM l),
+  o AS (SELECT *, CASE WHEN list_max({_BEST_OF_SENTENCE}) > 0 THEN [{", ".join(map(S.lit, DEMO_TOPICS))}][list_position({_BEST_OF_SENTENCE}, list_max({_BEST_OF_SENTENCE}))] END AS topic FROM u),
+  f AS (SELECT doc_id, k, 0 AS passage_no, length(t) AS n, topic, t FROM o WHERE k = 1
+    UNION ALL SELECT o.doc_id, o.k, f.passage_no + {_ENDS}::INT, CASE WHEN {_ENDS} THEN length(o.t) ELSE f.n + length(o.t) END,
+      CASE WHEN {_ENDS} THEN o.topic ELSE coalesce(f.topic, o.topic) END, o.t FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1)
+  SELECT doc_id, passage_no, string_agg(t, ' ' ORDER BY k) AS passage FROM f GROUP BY ALL""",
+)
 def sentence_groups(s, d):
     listed = F.filter(F.split("text", "\n"), lambda t: t != "")
     grouped = passages.grouped_sentences(listed, topics=DEMO_TOPICS)

@@ -32,11 +32,15 @@ def decoded(content: Column) -> Column:
 
 
 def envelope(blocks: DataFrame) -> DataFrame:
-    """(doc_id, text_content, content_length, has_text, page_count) of each document."""
-    own = blocks.groupBy("doc_id").agg(ordered_join(F.col("block_no"), F.col("text"), "\n").alias("text_content"), F.max("page_number").alias("page_count"))
-    return own.select(
-        "doc_id", "text_content", F.length("text_content").alias("content_length"), (F.trim("text_content") != "").alias("has_text"), "page_count"
+    """(doc_id, text_content, content_length, has_text, page_count) of each document, and ``parser_used`` where the blocks tell it."""
+    used = [F.first("parser_used").alias("parser_used")] if "parser_used" in blocks.columns else []
+    own = blocks.groupBy("doc_id").agg(
+        ordered_join(F.col("block_no"), F.col("text"), "\n").alias("text_content"), F.max("page_number").alias("page_count"), *used
     )
+    return own.select(
+        "doc_id", "text_content", F.length("text_content").alias("content_length"), (F.trim("text_content") != "").alias("has_text"), "page_count",
+        *(["parser_used"] if used else []),
+    )
 
 
 def page_texts(blocks: DataFrame) -> DataFrame:
