@@ -97,7 +97,7 @@ def preprocessed(text: Column, language: Column) -> Column:
     """Trimmed; Chinese, Japanese and Korean also with single spaces, plain punctuation and half-width forms."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
     narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    asian = F.regexp_replace(text, r"\s+", " ")
+    asian = F.regexp_replace(text, r"(?U)\s+", " ")  # wide spaces too
     for mark, plain in ASIAN_PUNCTUATION:
         asian = F.replace(asian, F.lit(mark), F.lit(plain))
     return stripped(F.when(language.isin("zh", "ja", "ko"), F.translate(asian, wide, narrow)).otherwise(text))

@@ -510,7 +510,7 @@ _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 @query(
     "language_preprocess",
     f"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'ja' ELSE lang END AS lang, '　Ａｂ１、 ' || text || '。 ' AS text FROM documents)
-  SELECT doc_id, {S.stripped(f"CASE WHEN lang = 'ja' THEN translate(replace(replace(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), '。', '. '), '、', ', '), {S.lit(_WIDE)}, {S.lit(_NARROW)}) ELSE text END")} AS text FROM t""",
+  SELECT doc_id, {S.stripped(f"CASE WHEN lang = 'ja' THEN translate(replace(replace(regexp_replace(text, '[ \\t\\n\\r　]+', ' ', 'g'), '。', '. '), '、', ', '), {S.lit(_WIDE)}, {S.lit(_NARROW)}) ELSE text END")} AS text FROM t""",
 )
 def language_preprocess(s, d):
     language = F.when(F.col("doc_id") % 2 == 0, "ja").otherwise(F.col("lang"))
