@@ -19,6 +19,8 @@ All of it is linear in the page's length; nothing is cut or capped.
 
 Defined results
 * null and empty pages, and pages without main text, give the empty string;
+  whole pages are read, however long; repeated rows each get their row, an empty
+  table gives no rows; other columns are not read and may have any name;
 * character references are decoded, white space within a line becomes one
   space, lines are trimmed and joined in page order by one space;
 * comments, scripts, styles and other unrendered elements are no text; an

@@ -12,7 +12,10 @@ Work and memory are linear in a text's length: patterns are matched without
 backtracking over long runs, and segments have a bounded number of words.
 
 Defined results: a null text is empty; offsets are code points, ends exclusive;
-``n_*`` count base spans; repeated rows and ids each get their row.
+whole texts are read, however long; of model segments with equal scores the
+dynamic program keeps the one it met first; ``n_*`` count base spans; repeated
+rows and ids each get their row; an empty table gives no rows; only the id and
+text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -10,8 +10,10 @@ bounded sample of distinct texts, each of them once however many rows repeat it,
 features.  The scorer then judges every whole text.
 
 Defined results: a text without a word (null, empty, blank) has score 1, that
-is lowest quality; repeated rows and ids each get their row; without any text
-the model is neutral; an empty table gives no rows.
+is lowest quality; a text is kept if its score is below the threshold, so a
+score at it is not; whole texts are read, however long; repeated rows and ids
+each get their row; without any text the model is neutral; an empty table gives
+no rows; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ nothing changes otherwise, so equal digests mean equal counts.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows and ids
 each get their row; an empty table gives no rows; whole texts are encoded,
-without begin, end or added special tokens, truncation or padding.
+however long, without begin, end or added special tokens, truncation or padding.
+Only the id and text columns are read, so others may have any name.  The cache
+lasts as long as its folder: the query takes the folder that the session names
+in ``foliant.token.cache``, and a new one where it names none.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ TOKEN_LIMIT = 2048
 CHUNK = 64
 #: Characters of white space in a row that tiktoken is not given.
 LONG_SPACE = 10_000
+#: Session setting: a folder that keeps the counts from one run to the next.
+CACHE_SETTING = "foliant.token.cache"
 _LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
 _CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 
@@ -201,7 +206,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     documents = table(spark, sf_dir, "documents")
-    return count_tokens(documents, "doc_id", "text", path, work_path(spark, "token-cache"))
+    return count_tokens(documents, "doc_id", "text", path, spark.conf.get(CACHE_SETTING, None) or work_path(spark, "token-cache"))
 
 
 QUERIES = {"op3_token_counts": op3_token_counts}

@@ -14,8 +14,10 @@ labelled URLs are used, so the statistics are small enough to broadcast.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and is judged by the trees like any other; without labelled URLs of both kinds
-everything is allowed; repeated rows and ids each get their row; an empty table
-gives no rows.
+everything is allowed; URLs of any length are read whole; of rules with equal
+length the last one given wins, and a score of one half blocks; repeated rows
+and ids each get their row; an empty table gives no rows; columns may have any
+name.
 """
 
 from __future__ import annotations
@@ -292,5 +294,24 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, "url", RULES, model, "page_id")
 
 
-QUERIES = {"op1_url_filters": op1_url_filters}
-ORACLES: dict = {}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the filter that SQL can state: host, path and the rules' verdicts (null where none fits)."""
+    rule, verdict = rule_of(RULES)
+    return parsed(table(spark, sf_dir, "pages"), "url", "page_id").select("kept.*", "host", "path", rule.alias("rule"), verdict.alias("rule_verdict"))
+
+
+QUERIES = {"op1_url_filters": op1_url_filters, "url_rules": url_rules}
+
+_FITS = " OR ".join(
+    f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') AND r.rule = '{h + p}')" for _, h, p in RULES
+)
+ORACLES = {
+    "url_rules": rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{h + p}', '{v}')" for v, h, p in RULES)}) AS r(rule, verdict)),
+f AS (SELECT p.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC) AS rn FROM p LEFT JOIN r ON {_FITS})
+SELECT page_id, host, path, rule, verdict AS rule_verdict FROM f WHERE rn = 1
+"""
+}

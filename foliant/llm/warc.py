@@ -14,7 +14,9 @@ record does.  Ranges of any size give each record exactly once.
 
 Defined results: a null payload is empty; a null id is written as ``-`` and
 read as null; rows that repeat an id are records of their own (repeats of the
-largest id are all responses); empty tables give no archive and no record.
+largest id are all responses); payloads of any length are written and read
+whole, a record at a time; empty tables give no archive and no record; only the
+id, URI and payload columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -148,6 +150,8 @@ def write_warc(
                 size, records = size + len(packed), records + 1
         if out is not None:
             out.close()
+            if system.get_file_info(path).type != arrow_fs.FileType.NotFound:  # of this task's earlier run; not all file systems replace
+                system.delete_file(path)
             system.move(hidden, path)
             yield pd.DataFrame({"path": [name], "size": [size], "records": [records]})
 

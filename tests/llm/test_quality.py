@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.llm.quality import THRESHOLD, _sample, fit_label_model, fit_quality, op5_quality_classifier, votes
+from foliant.llm.quality import THRESHOLD, TRAINING_ROWS, _sample, features, fit_label_model, fit_quality, op5_quality_classifier, self_score, train_scorer, votes
 from tests.llm.helpers import TROUBLED, documents, prose
 
 
@@ -31,9 +33,10 @@ def test_votes():
     assert votes("spam " * 100).count("1") >= 2
 
 
-def test_held_out_labels(spark):
-    found = op5_quality_classifier(spark, "/root/testdata/sf0.01")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+def test_held_out_labels(spark, small):
+    folder = small.replace("sf0.001", "sf0.01")
+    found = op5_quality_classifier(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
     rows = found.join(labels, "doc_id").select("keep", "quality").collect()
     assert np.mean([r["keep"] == (r["quality"] == 1) for r in rows]) > 0.98
 
@@ -60,6 +63,23 @@ def test_the_sample_is_of_distinct_texts(spark):
         assert sorted(drawn) == sorted(hashed[:30])
 
 
+def test_the_query_equals_a_plain_pass(spark, small):
+    """Votes, expectation-maximisation, training and scores once more, without Spark."""
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
+    texts = [t for _, t in rows if t.strip(" ")]
+    labels = fit_label_model(dict(sorted(Counter(map(votes, texts)).items())))
+    data = [(*features(t, {}), labels.posterior(votes(t))) for t in set(texts)]
+    weights = train_scorer(sorted(data, key=lambda r: (r[0].tobytes(), r[1].tobytes())))
+    found = op5_quality_classifier(spark, small).collect()
+    assert len(found) == len(rows) and len({t for t in texts}) <= TRAINING_ROWS
+    by_id = {r["doc_id"]: r for r in found}
+    for key, text in rows:
+        own = by_id[key]
+        score = self_score(text, weights, {})
+        assert own["votes"] == votes(text) and abs(own["score"] - score) < 1e-9 and own["keep"] == (own["score"] < THRESHOLD)
+        assert abs(own["posterior"] - labels.posterior(votes(text))) < 1e-9
+
+
 def test_no_texts(spark):
     model = fit_quality(documents(spark, []))
     assert documents(spark, []).select(model.score(F.col("text"))).isEmpty()

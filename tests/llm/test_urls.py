@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm.urls import RULES, filter_urls, fit_urls, lexical_features, op1_url_filters, parsed, seed_labels
+from foliant.llm.urls import ORACLES, QUERIES, RULES, filter_urls, fit_urls, lexical_features, op1_url_filters, parsed, seed_labels
 
 URLS = [
     None, "", "no scheme", "http://", "https://WWW.Example.COM/en/7?x=1#y", "http://example.com/en/12", "http://badexample.com/en/7", "http://a.example.net/de/8", "http://net/de/8",
@@ -55,6 +55,27 @@ def test_trees_tell_hosts_apart(spark, model):
     assert scores[0] < 0.5 <= scores[1]
 
 
+def test_accuracy_on_urls_and_hosts_that_were_held_out(spark, small):
+    pages = spark.read.parquet(small.replace("sf0.001", "sf0.1") + "/pages.parquet")
+    labelled = parsed(pages, "url").select("url", "host", seed_labels().alias("label"))
+    for key, least in (("url", 0.99), ("host", 0.95)):
+        part = F.pmod(F.xxhash64(key), F.lit(4))
+        model = fit_urls(labelled.where(part != 0))
+        held = labelled.where(part == 0)
+        judged = filter_urls(held, "url", (), model, "label").select("label", (F.col("score") >= 0.5).cast("int").alias("found")).collect()
+        right = sum(r["label"] == r["found"] for r in judged) / len(judged)
+        assert right >= least, (key, right, len(judged), sum(r["label"] for r in judged))
+
+
+def test_rules_equal_their_sql(spark, small):
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute(f"create view pages as select * from '{small}/pages.parquet'")
+    found = sorted(map(tuple, QUERIES["url_rules"](spark, small).collect()))
+    assert found == sorted(connection.execute(ORACLES["url_rules"]).fetchall())
+
+
 def test_features(spark):
     own = lexical_features(parsed(frame(spark, ["http://a-b.c.com/x/1?p=1&q=2", ""]), "url", "page_id")).orderBy("kept.page_id").collect()
     url = "http://a-b.c.com/x/1?p=1&q=2"
