@@ -238,7 +238,26 @@ def fragment_neighbours(s, d):
 _PLACED = ("doc_id", "block_no", "page_number", "text", "n_merged")
 
 
-@query("reconstructed_lines")
+_LETTERS = "regexp_matches(before, '^\\p{L}+$') AND regexp_matches(t, '^\\p{L}+$') AND (length(before) = 1 OR length(t) = 1)"
+_CAPITAL = "regexp_matches(t, '^\\p{Lu}')"
+_SPACED = f"""(x - edge > 2 OR (length(before) > 1 AND length(t) > 1 AND regexp_matches(before, '\\p{{L}}$') AND regexp_matches(t, '^\\p{{L}}'))
+  OR (length(before) <= 2 AND length(t) = 1 AND {_CAPITAL}) OR (length(before) = 1 AND length(t) > 1 AND {_CAPITAL}))"""
+
+
+@query(
+    "reconstructed_lines",
+    f"""WITH {_SCATTERED}, g AS (SELECT *, round_even(y / 2, 0) * 2 AS line, {S.stripped('text')} AS t, lag(x + width) OVER o AS edge, lag(font_size) OVER o AS font, lag({S.stripped('text')}) OVER o AS before
+    FROM blocks WINDOW o AS (PARTITION BY doc_id, page_number, round_even(y / 2, 0) ORDER BY x, block_no)),
+  b AS (SELECT *, edge IS NULL OR x - edge >= font * CASE WHEN font > 15 THEN 1.0 ELSE 0.8 END OR abs(font_size - font) >= 5 AS begins FROM g),
+  r AS (SELECT *, sum(begins::INT) OVER (PARTITION BY doc_id, page_number, line ORDER BY x, block_no) AS run FROM b),
+  m AS (SELECT doc_id, page_number, line, run, count(*) AS n, avg(font_size) AS mean_font, min(font_size) AS least_font, sum(length(t)) AS characters, sum((length(t) <= 3)::INT) AS short,
+      coalesce(avg(abs(x - edge)) FILTER (NOT begins), 0) AS mean_gap, string_agg(t, ' ' ORDER BY x, block_no) AS joined, arg_min(block_no, x) AS first_no,
+      string_agg(CASE WHEN begins OR (x - edge <= 1 AND {_LETTERS}) OR NOT {_SPACED} THEN '' ELSE ' ' END || t, '' ORDER BY x, block_no) AS whole FROM r GROUP BY ALL),
+  f AS (SELECT *, n >= 2 AND mean_font >= CASE WHEN n <= 4 THEN 12 ELSE 15 END AND least_font >= 10 AND (CASE WHEN n <= 4 THEN characters BETWEEN 10 AND 80
+      ELSE short >= n * 0.6 AND mean_gap <= mean_font * 0.7 END OR {_heading_text('joined')}) AS is_one FROM m)
+  SELECT doc_id, first_no AS block_no, page_number, {S.stripped("regexp_replace(whole, '[ ]+', ' ', 'g')")} AS text, CAST(n AS INTEGER) AS n_merged FROM f WHERE is_one
+  UNION ALL SELECT doc_id, block_no, page_number, text, 1 FROM r JOIN f USING (doc_id, page_number, line, run) WHERE NOT is_one""",
+)
 def reconstructed_lines(s, d):
     return FR.reconstructed_lines(scattered(blocks(s, d))).select(*_PLACED)
 
