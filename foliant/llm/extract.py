@@ -10,10 +10,11 @@ of its own is a wrapper if too little text is left outside.  The weights are sum
 empty line stands for an element without text and not for the space between two
 tags; a stretch of text ends at the dive to a window of nothing and is kept if
 its sum surges above the threshold, however short its lines are.  That holds on
-every page; text that the page marks as its article (``article`` or ``main``)
-gets a bonus of the whole threshold, so any of it is enough for a surge, and
-text outside has to surge by its own length: a stretch also ends where a marked
-article begins or ends.
+every page: lines that the page marks as its article (``article`` or ``main``)
+get a bonus, so few characters of them make a surge, but a stretch of less, far
+from other text, makes none there either; text outside has to surge by its own
+length, and a stretch also ends where a marked article begins or ends.  Where
+nothing on a page surges, the heaviest stretch of its marked article is kept.
 
 All of it is linear in the page's length; nothing is cut or capped.
 
@@ -42,9 +43,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import table, with_text_batches
 
-#: Lines in a window, and weight a stretch needs for a surge, which is also the bonus of text in a marked article.
+#: Lines in a window, weight a stretch needs for a surge, and bonus of a line in a marked article.
 WINDOW = 3
 SURGE = 60
+BONUS = 50
 
 # HTML element names.
 UNRENDERED = frozenset("script style noscript template svg math head iframe object canvas audio video select textarea button".split())
@@ -207,17 +209,21 @@ def _lines(page: str, blocks: list[_Block]) -> Iterator[tuple[str, int, _Block |
     yield taken()
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE, bonus: int = BONUS) -> str:
     """The text between the surge and dive points of the page's line-block distribution."""
     if not page:
         return ""
     found = [line for line in lines(page, surge) if not line[2]]
-    # In a marked article the bonus makes text that is all link the article's as well.
-    weight = np.array([max(0, len(text) - in_links) + (surge if inside and text else 0) for text, in_links, _, inside in found], dtype=np.int64)
+    # In a marked article text that is all link is the article's as well.
+    weight = np.array([len(text) + bonus * bool(text) if inside else max(0, len(text) - in_links) for text, in_links, _, inside in found], dtype=np.int64)
     marked = np.array([inside for _, _, _, inside in found], dtype=bool)
-    return " ".join(
-        found[i][0] for begin, end in _stretches(weight, marked, window) if weight[begin:end].sum() >= surge for i in range(begin, end) if weight[i]
-    )
+    stretches = list(_stretches(weight, marked, window))
+    sums = [int(weight[begin:end].sum()) for begin, end in stretches]
+    kept = [s for s, total in zip(stretches, sums, strict=True) if total >= surge]
+    if not kept:
+        own = [(total, -s[0], s) for s, total in zip(stretches, sums, strict=True) if marked[s[0]]]
+        kept = [max(own)[2]] if own else []
+    return " ".join(found[i][0] for begin, end in kept for i in range(begin, end) if weight[i])
 
 
 def _stretches(weight: np.ndarray, marked: np.ndarray, window: int) -> Iterator[tuple[int, int]]:

@@ -4,7 +4,7 @@ import html
 import re
 import time
 
-from foliant.llm.extract import extract_text, main_text, op10_html_extraction
+from foliant.llm.extract import BONUS, SURGE, WINDOW, extract_text, main_text, op10_html_extraction
 
 LONG = "These are plain words of an article. " * 5
 
@@ -84,3 +84,16 @@ def test_null_rows(spark):
     frame = spark.createDataFrame([(1, None, "t"), (None, "<article>x</article>", "t"), (1, None, "t")], "page_id long, html string, text string")
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in extract_text(frame, "html", "page_id").collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
     assert extract_text(frame.limit(0), "html", "page_id").isEmpty()
+
+
+def test_surges_decide_inside_marked_articles_too():
+    empty = "<div></div>" * (WINDOW + 3)
+    page = f"<article><p>{'long text ' * 9}</p><p>near</p>{empty}<p>far</p>{empty}<p>far, but long enough</p></article>"
+    body = ("long text " * 9).strip()
+    assert main_text(page) == f"{body} near far, but long enough"
+    assert main_text(page, window=50) == f"{body} near far far, but long enough"
+    assert main_text(page, surge=SURGE + 40) == f"{body} near"
+    assert main_text(page, bonus=0) == f"{body} near"
+    # An article of a few characters is still the page's text; the same outside is none.
+    assert main_text("<body><article><p>Hi</p></article></body>") == "Hi" and main_text("<body><div>Hi</div></body>") == ""
+    assert BONUS < SURGE
