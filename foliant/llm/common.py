@@ -33,7 +33,7 @@ def with_row_keys(df: DataFrame, name: str, id_col: str) -> DataFrame:
     kind = df.schema[id_col].dataType
     own = F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0") if isinstance(kind, T.IntegralType) else F.col(id_col).cast("string")
     content = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    key = F.concat_ws(":", F.coalesce(own, F.lit("~")), F.hex(F.xxhash64(*content)), F.hex(F.xxhash64(F.lit(1), *content)), _file_position())
+    key = F.concat_ws(":", F.coalesce(own, F.lit("~")), F.hex(F.xxhash64(*content)), _file_position())
     try:
         return df.withColumn(name, key)
     except AnalysisException:

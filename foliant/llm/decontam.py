@@ -33,11 +33,12 @@ Defined results
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import table, text_or_empty, with_text_batches, written
@@ -203,14 +204,9 @@ def find_contamination(
     group_words: int = GROUP_WORDS,
 ) -> DataFrame:
     """(id, item_id, score, begin, length): documents that hold a benchmark item, and where."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), text_or_empty(item_text_col).alias("text"))
-    size = items.select(F.sum(F.length("text") / 2 + 1).alias("words")).first()["words"] or 0  # a word has 2 characters, or 1 and a space
-    groups = max(1, int(-(-size // group_words)))
-    keyed = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)))
     found = None
-    for part in range(groups):
-        rows = [(r["item_id"], r["text"]) for r in keyed.where(F.col("part") == part).orderBy("item_id", "text").collect()]
-        one = _scan(documents, Items(rows), id_col, text_col, threshold)
+    for items in _groups(benchmark, item_col, item_text_col, group_words):
+        one = _scan(documents, items, id_col, text_col, threshold)
         found = one if found is None else found.unionByName(one)
     return found.groupBy("doc_id", "item_id").agg(
         F.max("score").alias("score"), F.max_by(F.struct("begin", "length"), F.struct("score", -F.col("begin"))).alias("at")
@@ -223,34 +219,75 @@ def find_contamination(
     )
 
 
+def without_contamination(
+    documents: DataFrame,
+    benchmark: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    threshold: float = THRESHOLD,
+    group_words: int = GROUP_WORDS,
+) -> DataFrame:
+    """The documents that hold no benchmark item, judged where they are read: texts are not shuffled."""
+    documents = with_text_batches(documents)
+    for items in _groups(benchmark, item_col, item_text_col, group_words):
+        shared = documents.sparkSession.sparkContext.broadcast(items)  # at most GROUP_WORDS words and one item
+        documents = documents.where(~_holds_an_item(shared, threshold)(text_or_empty(text_col)))
+    return documents
+
+
+def _holds_an_item(shared: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    @F.pandas_udf("boolean")
+    def holds(texts: pd.Series) -> pd.Series:
+        held = np.zeros(len(texts), dtype=bool)
+        for found in _matches(shared.value, range(len(texts)), texts, threshold):
+            held[found["doc_id"].to_numpy(int)] = True
+        return pd.Series(held)
+
+    return holds
+
+
+def _groups(benchmark: DataFrame, item_col: str, item_text_col: str, group_words: int) -> Iterator[Items]:
+    """The benchmark's items in groups of about so many words, at least one."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), text_or_empty(item_text_col).alias("text"))
+    size = items.select(F.sum(F.length("text") / 2 + 1).alias("words")).first()["words"] or 0  # a word has 2 characters, or 1 and a space
+    groups = max(1, int(-(-size // group_words)))
+    keyed = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(groups)))
+    for part in range(groups):
+        yield Items([(r["item_id"], r["text"]) for r in keyed.where(F.col("part") == part).orderBy("item_id", "text").collect()])
+
+
 def _scan(documents: DataFrame, items: Items, id_col: str, text_col: str, threshold: float) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(items)  # at most GROUP_WORDS words and one item
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for batch in batches:
-            rows = [
-                (key, *passage) for key, text in zip(batch["doc_id"], batch["text"], strict=True) for passage in own.passages(text)
-            ]
-            hits = pd.DataFrame(rows, columns=["doc_id", "item", "begin", "words"])
-            once = hits[["item", "words"]].drop_duplicates()
-            able = [own.bound(item, np.frombuffer(x, dtype=np.int32)) >= threshold for item, x in zip(once["item"], once["words"], strict=True)]
-            # Like lengths together, so that little is padding.
-            once = once[np.array(able, dtype=bool)].assign(size=lambda x: x["words"].map(len)).sort_values("size", kind="stable")
-            for part in _parts(once):
-                left = [own.words[i] for i in part["item"]]
-                right = [np.frombuffer(x, dtype=np.int32) for x in part["words"]]
-                share = align(left, right) / (MATCH * np.array([len(x) for x in left]))
-                scored = part.assign(score=share, length=[len(x) for x in right])[share >= threshold]
-                out = hits.merge(scored, on=["item", "words"])
-                if len(out):
-                    out["item_id"] = [own.ids[i] for i in out["item"]]
-                    yield out[["doc_id", "item_id", "score", "begin", "length"]].explode("item_id")
+            for out in _matches(own, batch["doc_id"], batch["text"], threshold):
+                out["item_id"] = [own.ids[i] for i in out["item"]]
+                yield out[["doc_id", "item_id", "score", "begin", "length"]].explode("item_id")
 
     texts = with_text_batches(documents).select(F.col(id_col).cast("string").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return written(texts.mapInPandas(score, _SCORE_SCHEMA), "contaminated")
 
 
+def _matches(own: Items, keys: Iterable, texts: Iterable[str], threshold: float) -> Iterator[pd.DataFrame]:
+    """(doc_id, item, words, begin, size, score, length) of the texts' passages that reach the threshold."""
+    rows = [(key, *passage) for key, text in zip(keys, texts, strict=True) for passage in own.passages(text)]
+    hits = pd.DataFrame(rows, columns=["doc_id", "item", "begin", "words"])
+    once = hits[["item", "words"]].drop_duplicates()
+    able = [own.bound(item, np.frombuffer(x, dtype=np.int32)) >= threshold for item, x in zip(once["item"], once["words"], strict=True)]
+    # Like lengths together, so that little is padding.
+    once = once[np.array(able, dtype=bool)].assign(size=lambda x: x["words"].map(len)).sort_values("size", kind="stable")
+    for part in _parts(once):
+        left = [own.words[i] for i in part["item"]]
+        right = [np.frombuffer(x, dtype=np.int32) for x in part["words"]]
+        share = align(left, right) / (MATCH * np.array([len(x) for x in left]))
+        out = hits.merge(part.assign(score=share, length=[len(x) for x in right])[share >= threshold], on=["item", "words"])
+        if len(out):
+            yield out
+
+
 def _parts(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
     """Slices of at most BATCH passages and about BATCH_WORDS words, or one passage."""
     begin = 0

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from foliant.llm.decontam import GAP, MATCH, MISMATCH, Items, align, find_contamination
+from foliant.llm.decontam import GAP, MATCH, MISMATCH, Items, align, find_contamination, without_contamination
 from tests.llm.helpers import TROUBLED, documents, prose
 
 
@@ -121,6 +121,18 @@ def test_ids_of_other_types_and_repeats(spark):
     assert sorted((r["doc"] or "", r["item_id"] or "") for r in found) == [("", ""), ("", "i"), ("", "k"), ("d", ""), ("d", "i"), ("d", "k")]
 
 
+def test_the_filter_drops_what_is_found(spark):
+    own = items()
+    rows = [(100 + i, prose(i, 60) + " " + own[i % 12][1] * (i % 3 == 0)) for i in range(40)] + TROUBLED
+    docs, benchmark = documents(spark, rows), spark.createDataFrame(own, "item_id long, text string")
+    dropped = {r["doc_id"] for r in find_contamination(docs, benchmark).collect()}
+    for words in (1_000_000, 100):
+        kept = without_contamination(docs, benchmark, group_words=words)
+        assert kept.columns == docs.columns and kept.count() == len(rows) - len(dropped)
+        assert not dropped & {r["doc_id"] for r in kept.collect()}
+    assert dropped == {100 + i for i in range(40) if i % 3 == 0}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame(items(), "item_id long, text string")
