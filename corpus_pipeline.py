@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import table, text_or_empty, unused, with_row_keys, written
-from foliant.llm.decontam import find_contamination
+from foliant.llm.decontam import without_contamination
 from foliant.llm.neardup import near_duplicates
 from foliant.llm.packing import pack
 from foliant.llm.pii import redact
@@ -38,15 +38,12 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keyed = with_row_keys(docs, key, "doc_id")
     groups = near_duplicates(keyed, key, "text", count_links=False)
     dropped = written(groups.where(F.col(key) != F.col("class_id")).select(key), "dropped")
-    return keyed.join(dropped, key, "left_anti").select(docs.columns)
+    # Merged at every size: what is dropped grows with the documents and is not to be broadcast.
+    return keyed.join(dropped.hint("merge"), key, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = unused(docs, "row_key")
-    keyed = with_row_keys(docs, key, "doc_id")
-    found = find_contamination(keyed, table(spark, sf_dir, "benchmark"), key)
-    dropped = written(found.select(key).distinct(), "dropped")
-    return keyed.join(dropped, key, "left_anti").select(docs.columns)
+    return without_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
