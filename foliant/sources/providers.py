@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.language import preprocessed
+from foliant.sources.documents import clean_field, pdf_date, title_or_name
 
 Block = tuple  # page_number, text, x, y, width, height, font_name, font_size, font_flags
 Provider = Callable[[bytes], list[Block]]
@@ -169,3 +170,37 @@ def parsed_files(files: DataFrame, primary: str = "pdf", fallback: str | None =
                 yield pd.DataFrame(rows or [(path, status, None, *[None] * 10)], columns=names)
 
     return files.select("path", "content").mapInPandas(parse, PARSED_SCHEMA)
+
+
+MetadataReader = Callable[[bytes], dict[str, str | None]]
+METADATA_FIELDS = ("title", "author", "subject", "keywords", "creator", "producer", "creation_date", "modification_date")
+
+
+def pdf_metadata(content: bytes) -> dict[str, str | None]:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as document:
+        found = document.metadata or {}
+    return {name: found.get({"creation_date": "creationDate", "modification_date": "modDate"}.get(name, name)) for name in METADATA_FIELDS}
+
+
+def file_metadata(files: DataFrame, reader: MetadataReader = pdf_metadata) -> DataFrame:
+    """(path, status, title, author, ... dates) of files (path, content): trimmed or null, dates as YYYY-MM-DD, a title from the name where there is none."""
+    schema = ", ".join(["path string", "status string", *(f"{name} string" for name in METADATA_FIELDS)])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    found, status = reader(bytes(content)), "ok"
+                except Exception as error:  # quarantined: the row says why
+                    found, status = {}, f"{type(error).__name__}: {error}"
+                rows.append((path, status, *(found.get(name) for name in METADATA_FIELDS)))
+            yield pd.DataFrame(rows, columns=["path", "status", *METADATA_FIELDS])
+
+    own = files.select("path", "content").mapInPandas(read, schema)
+    fields = {name: clean_field(F.col(name)) for name in METADATA_FIELDS}
+    fields |= {name: pdf_date(clean_field(F.col(name))) for name in ("creation_date", "modification_date")}
+    fields["title"] = title_or_name(F.col("title"), F.element_at(F.split("path", "/"), -1))
+    return own.withColumns(fields)

@@ -303,3 +303,16 @@ def test_eviction_table_equals_the_cache(spark):
     assert kept == set(cache._entries)
 
 
+
+
+def test_metadata_of_files(spark):
+    def read(content):
+        if not content:
+            raise ValueError("no document")
+        return {"title": " ", "author": " A. Writer ", "creation_date": "D:20240131120000", "modification_date": "D:2024"}
+
+    frame = spark.createDataFrame([("/x/annual_report.pdf", bytearray(b"x")), ("/x/b.pdf", bytearray(b""))], "path string, content binary")
+    found = {r["path"]: r for r in providers.file_metadata(frame, read).collect()}
+    own = found["/x/annual_report.pdf"]
+    assert (own["status"], own["title"], own["author"], own["subject"], own["creation_date"], own["modification_date"]) == ("ok", "Annual Report", "A. Writer", None, "2024-01-31", None)
+    assert found["/x/b.pdf"]["status"] == "ValueError: no document" and found["/x/b.pdf"]["title"] == "B"
