@@ -435,7 +435,24 @@ def title_components(s, d):
     return titled.select("doc_id", "block_no", O.title_component(F.col("text"), F.col("title")).alias("is_component"))
 
 
-query("heading_near_dups")(lambda s, d: O.distinct_headings(detected(s, d)).select("doc_id", "block_no", "text"))
+_KW, _AW = f"list_distinct({S.words('k')})", f"list_distinct({S.words('o.a')})"
+_NUMBERED_BOTH = "regexp_matches(k, '^[0-9]+[.]') AND regexp_matches(o.a, '^[0-9]+[.]')"
+_SIMILAR = f"""len(list_filter(f.kept, lambda k: contains(k, o.a) OR contains(o.a, k) OR len(list_intersect({_KW}, {_AW})) / least(len({_KW}), len({_AW}))
+  > CASE WHEN {_NUMBERED_BOTH} THEN 0.9 ELSE 0.8 END)) > 0"""
+
+
+@query(
+    "heading_near_dups",
+    f"""WITH RECURSIVE {_SHIFTED}{_DISTINCT}, o AS (SELECT doc_id, block_no, text, array_to_string({S.words('lower(text)')}, ' ') AS a,
+    row_number() OVER (PARTITION BY doc_id ORDER BY page_number, y, block_no) AS n FROM fin WHERE length({TEXT}) BETWEEN 2 AND 150),
+  f AS (SELECT doc_id, block_no, text, n, [a] AS kept, true AS stays FROM o WHERE n = 1
+    UNION ALL SELECT o.doc_id, o.block_no, o.text, o.n, CASE WHEN {_SIMILAR} THEN f.kept ELSE list_append(f.kept, o.a) END, NOT ({_SIMILAR}) FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)
+  SELECT doc_id, block_no, text FROM f WHERE stays""",
+)
+def heading_near_dups(s, d):
+    return O.distinct_headings(detected(s, d)).select("doc_id", "block_no", "text")
+
+
 query("outline_split")(lambda s, d: O.split_headings(detected(s, d)).select("doc_id", "block_no", "part_no", "text"))
 
 
