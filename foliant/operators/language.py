@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.text import stripped, words
+from foliant.functions.text import stripped
 
 # Code, name, family, written right to left, complex script.
 LANGUAGES = (
@@ -58,8 +59,15 @@ def with_language_metadata(rows: DataFrame, code_col: str) -> DataFrame:
     )
 
 
-def frequent_words(text: Column, language: str) -> Column:
-    return F.size(F.filter(words(F.lower(F.substring(text, 1, 1000))), lambda w: w.isin(*FREQUENT[language])))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used; a plain column is computed anew at every use in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def frequent_words(text: Column) -> Column:
+    """All words in the text's beginning that are frequent in some language, repeats too."""
+    some = sorted({w for own in FREQUENT.values() for w in own})
+    return F.filter(F.split(F.lower(F.substring(text, 1, 1000)), r"\s+"), lambda w: w.isin(some))
 
 
 #: Log odds, in tenths, that a frequent word of one language speaks for it against another.
@@ -73,24 +81,33 @@ def probabilities(text: Column) -> Column:
     odds, so probabilities are those of a model of independent words; without
     any such word all languages are equally likely.
     """
-    counts = F.array(*[F.struct(frequent_words(text, code).alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, code in enumerate(FREQUENT)])
-    ordered = F.reverse(F.array_sort(counts))
-    most = F.element_at(ordered, 1)["n"]
-    weights = F.transform(ordered, lambda c: F.exp((c["n"] - most) * (ODDS / 10)))
-    total = F.aggregate(weights, F.lit(0.0), lambda t, w: t + w)
-    return F.transform(F.arrays_zip(ordered.alias("c"), weights.alias("w")), lambda x: F.struct(x["c"]["lang"].alias("lang"), (x["w"] / total).alias("prob")))
+
+    def counted(found: Column) -> Column:
+        counts = [F.size(F.filter(found, lambda w: w.isin(*own))) for own in FREQUENT.values()]
+        rows = [F.struct(n.alias("n"), F.lit(-i).alias("o"), F.lit(code).alias("lang")) for i, (code, n) in enumerate(zip(FREQUENT, counts))]
+        return F.sort_array(F.array(*rows), asc=False)
+
+    def weighed(ordered: Column) -> Column:
+        most = F.element_at(ordered, 1)["n"]
+        return F.transform(ordered, lambda c: F.struct(c["lang"].alias("lang"), F.exp((c["n"] - most) * (ODDS / 10)).alias("w")))
+
+    def shared(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda t, x: t + x["w"])
+        return bound(total, lambda t: F.transform(weights, lambda x: F.struct(x["lang"].alias("lang"), (x["w"] / t).alias("prob"))))
+
+    return bound(bound(bound(frequent_words(text), counted), weighed), shared)
 
 
 def identified(text: Column, fallback: str = "en", least: float = 0.8) -> Column:
     """The likeliest language if its probability reaches the bound; short texts and doubtful ones give the fallback."""
-    best = F.element_at(probabilities(text), 1)
-    return F.when((F.length(stripped(text)) < 50) | (best["prob"] < least), fallback).otherwise(best["lang"])
+    judged = bound(F.element_at(probabilities(text), 1), lambda best: F.when(best["prob"] < least, fallback).otherwise(best["lang"]))
+    return F.when(F.length(stripped(text)) < 50, fallback).otherwise(judged)
 
 
 def shares(text: Column, least: float = 0.3) -> Column:
     """Array of (lang, prob) of the languages with a probability of at least 0.3; English alone where there is none."""
-    kept = F.filter(probabilities(text), lambda x: x["prob"] >= least)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("prob"))))
+    english = F.array(F.struct(F.lit("en").alias("lang"), F.lit(1.0).alias("prob")))
+    return bound(F.filter(probabilities(text), lambda x: x["prob"] >= least), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(english))
 
 
 def preprocessed(text: Column, language: Column) -> Column:
@@ -118,12 +135,19 @@ def normalised(text: Column) -> Column:
 
 
 def multilingual_documents(blocks: DataFrame, samples: int = 10) -> DataFrame:
-    """(doc_id, is_multilingual): more than one language in a sample of long blocks, of documents with five or more."""
-    document = Window.partitionBy("doc_id")
-    numbered = blocks.select("doc_id", "text", (F.row_number().over(document.orderBy("block_no")) - 1).alias("i"), F.count("*").over(document).alias("n"))
+    """(doc_id, is_multilingual): more than one language in a sample of long blocks, of documents with five or more.
+
+    Long blocks are identified where they are read, so that no text is shuffled;
+    the sample is then taken of small rows, with one shuffle for all windows.
+    A document of null id is never multilingual.
+    """
+    spoken = blocks.select("doc_id", "block_no", F.when(F.length("text") > 50, identified(F.col("text"))).alias("language"))
+    document = Window.partitionBy("doc_id").orderBy("block_no")
+    whole = document.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = spoken.select("doc_id", "block_no", "language", (F.row_number().over(document) - 1).alias("i"), F.count("*").over(whole).alias("n"))
     step = F.greatest(F.floor(F.col("n") / samples), F.lit(1))
-    sample = numbered.where((F.col("i") % step == 0) & (F.length("text") > 50))
-    picked = sample.withColumn("k", F.row_number().over(document.orderBy("i"))).where(F.col("k") <= samples)
-    languages = picked.groupBy("doc_id").agg(F.countDistinct(identified(F.col("text"))).alias("languages"))
-    sizes = blocks.groupBy("doc_id").agg(F.count("*").alias("n"))
-    return sizes.join(languages, "doc_id", "left").select("doc_id", ((F.col("n") >= 5) & (F.coalesce("languages", F.lit(0)) > 1)).alias("is_multilingual"))
+    sample = numbered.withColumn("language", F.when(F.col("i") % step == 0, F.col("language")))
+    nth = F.count("language").over(document.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = sample.withColumn("language", F.when(nth <= samples, F.col("language")))
+    several = F.coalesce(F.min("language") != F.max("language"), F.lit(False)) & F.col("doc_id").isNotNull()
+    return picked.groupBy("doc_id").agg(((F.max("n") >= 5) & several).alias("is_multilingual"))
