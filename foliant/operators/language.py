@@ -100,8 +100,12 @@ def probabilities(text: Column) -> Column:
 
 def identified(text: Column, fallback: str = "en", least: float = 0.8) -> Column:
     """The likeliest language if its probability reaches the bound; short texts and doubtful ones give the fallback."""
-    judged = bound(F.element_at(probabilities(text), 1), lambda best: F.when(best["prob"] < least, fallback).otherwise(best["lang"]))
-    return F.when(F.length(stripped(text)) < 50, fallback).otherwise(judged)
+
+    def judged(best: Column) -> Column:
+        doubtful = (best["prob"] < least) | (best["lang"] == fallback)  # these need no measuring
+        return F.when(doubtful | (F.length(stripped(text)) < 50), fallback).otherwise(best["lang"])
+
+    return bound(F.element_at(probabilities(text), 1), judged)
 
 
 def shares(text: Column, least: float = 0.3) -> Column:
